@@ -43,7 +43,7 @@ WINDOW, GRAM, GROUP_SIZE, SLOT_BITS = 20, 10, 4_000_000, 12
 DEPTHS = (1, 2, 4, 8, 16)
 _KNOWN, _TWICE, _PLACE = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32((1 << 30) - 1)
 _SUFFIX = np.dtype([("key", "<u8"), ("doc", "<i8"), ("place", "<u4")])
-_MARK = np.dtype([("place", "<u4"), ("check", "<u2")])
+_MARK = np.dtype([("doc", "<i8"), ("place", "<u4"), ("check", "<u2")])
 _NULL_DOC = np.iinfo(np.int64).min
 
 
@@ -110,28 +110,41 @@ def _meet(records: np.ndarray, bucket: np.ndarray, n: int) -> tuple[np.ndarray,
     return bucket, records
 
 
-def _by_doc(records: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row a document: its marks as bytes."""
-    order = np.lexsort((records["place"], records["doc"]))
-    docs, marks = records["doc"][order], marks[order]
-    cut = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.empty(0, np.int64)
-    ends = np.r_[cut[1:], len(docs)]
-    for at in range(0, len(cut), 20_000):
-        blobs = [marks[a:b].tobytes() for a, b in zip(cut[at : at + 20_000], ends[at : at + 20_000], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[cut[at : at + 20_000]], pa.int64()), pa.array(blobs, pa.binary())], names=["_doc", "_marks"])
+def _marked(r: np.ndarray) -> np.ndarray:
+    marks = np.empty(len(r), _MARK)
+    marks["doc"], marks["place"], marks["check"] = r["doc"], r["place"] & _PLACE, (r["key"] & np.uint64(0xFFFF)).astype(np.uint16)
+    return marks
+
+
+def _to_docs(records: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Marks (of dtype _MARK) on their way to their documents, packed by bucket."""
+    yield from common.pack(_doc_bucket(records["doc"], parts), parts, records)
+
+
+def _by_doc(packed: DataFrame, parts: int) -> DataFrame:
+    """One row a document that has marks: _doc and its marks as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = common.unpack(batches, _MARK)
+        r = r[np.lexsort((r["place"], r["doc"]))]
+        cut = np.flatnonzero(np.r_[True, r["doc"][1:] != r["doc"][:-1]]) if len(r) else np.empty(0, np.int64)
+        ends = np.r_[cut[1:], len(r)]
+        for at in range(0, len(cut), 2000):
+            blobs = [r[a:b].tobytes() for a, b in zip(cut[at : at + 2000], ends[at : at + 2000], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(r["doc"][cut[at : at + 2000]], pa.int64()), pa.array(blobs, pa.binary())], names=["_doc", "_marks"])
+
+    return packed.repartition(parts, "_bucket").mapInArrow(run, "_doc long, _marks binary")
 
 
 def _joined(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Documents with all marks of theirs in one column."""
-    own = marks.groupBy("_doc").agg(F.collect_list("_marks").alias("_marks"))
-    return docs.join(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_DOC)) == F.col("_doc"), "left").drop("_doc")
+    """Documents with their marks."""
+    return docs.join(marks, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_DOC)) == F.col("_doc"), "left").drop("_doc")
 
 
-def _marks(b: pa.RecordBatch, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+def _marks(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Row of the batch and mark, of all marks."""
-    lists = b.column("_marks").to_pylist()
-    joined = [b"".join(x) if x else b"" for x in lists]
-    return np.repeat(np.arange(len(joined)), [len(x) // dtype.itemsize for x in joined]), np.frombuffer(b"".join(joined), dtype)
+    own = [x or b"" for x in b.column("_marks").to_pylist()]
+    return np.repeat(np.arange(len(own)), [len(x) // _MARK.itemsize for x in own]), np.frombuffer(b"".join(own), _MARK)
 
 
 def _census(text: w.Words, counts: np.ndarray) -> None:
@@ -186,7 +199,7 @@ def repeated_anchors(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame
                 else:
                     blobs.append(np.frombuffer(blob, _SUFFIX))
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["_doc", "_marks"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["_bucket", "_blob"])
         if not blobs:
             return
         r = np.concatenate(blobs)
@@ -197,17 +210,15 @@ def repeated_anchors(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame
         size = np.diff(np.r_[cut, len(own)])
         twice = np.logical_or.reduceat((own["place"] & _TWICE) > 0, cut) if len(own) else np.empty(0, bool)
         r = np.concatenate([own[np.repeat((size > 1) | twice, size)], r[known]])
-        r["place"] &= _PLACE
-        yield from _by_doc(r, r["place"])
+        yield from _to_docs(_marked(r), parts)
 
     packed = docs.select("doc_id", "text").mapInArrow(scan, common.PACKED)
-    found = packed.repartition(parts, "_bucket").mapInArrow(gather, "_doc long, _marks binary")
-    found = common.materialise(found, "anchors")
+    found = common.materialise(packed.repartition(parts, "_bucket").mapInArrow(gather, common.PACKED), "anchors")
     counts = np.zeros((len(DEPTHS), 1 << SLOT_BITS), np.int64)
-    for row in found.filter("_doc is null").select("_marks").toLocalIterator():  # one row of fixed size a bucket -1: one
+    for row in found.filter("_bucket < 0").select("_blob").toLocalIterator():  # one row of fixed size a bucket -1: one
         counts += np.frombuffer(row[0], np.int64).reshape(counts.shape)
     common.drop_shuffles(docs.sparkSession)
-    return found.filter("_doc is not null"), counts
+    return found.filter("_bucket >= 0"), counts
 
 
 def _swap(met: tuple[np.ndarray, np.ndarray], parts: int) -> tuple[np.ndarray, int, np.ndarray]:
@@ -221,7 +232,8 @@ def removed_windows(docs: DataFrame, anchors: DataFrame, census: np.ndarray, win
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, place = _marks(b, np.dtype("<u4"))
+            row, place = _marks(b)
+            place = place["place"]
             if not len(row):
                 continue
             rows = np.unique(row)
@@ -260,14 +272,10 @@ def removed_windows(docs: DataFrame, anchors: DataFrame, census: np.ndarray, win
         under[1:] = leaves["key"][1:] == leaves["key"][:-1]
         first = np.maximum.accumulate(np.where(under, 0, np.arange(len(leaves))))
         under &= (leaves["doc"] != leaves["doc"][first]) | (leaves["place"] != leaves["place"][first])  # a repeated row is no repeat
-        r["place"] &= _PLACE
-        r = np.concatenate([leaves[under], r])
-        marks = np.empty(len(r), _MARK)
-        marks["place"], marks["check"] = r["place"], (r["key"] & np.uint64(0xFFFF)).astype(np.uint16)
-        yield from _by_doc(r, marks)
+        yield from _to_docs(_marked(np.concatenate([leaves[under], r])), parts)
 
-    packed = _joined(docs, anchors).select("doc_id", "text", "rest", "_marks").mapInArrow(scan, common.PACKED)
-    return packed.repartition(parts, "_bucket").mapInArrow(subtrees, "_doc long, _marks binary")
+    packed = _joined(docs, _by_doc(anchors, parts)).select("doc_id", "text", "rest", "_marks").mapInArrow(scan, common.PACKED)
+    return _by_doc(packed.repartition(parts, "_bucket").mapInArrow(subtrees, common.PACKED), parts)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_size: int = GROUP_SIZE, carry: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
@@ -287,7 +295,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_size: i
         for whole in batches:
             for lo, hi, data, offs in w.parts(whole.column("text")):
                 b = whole.slice(lo, hi - lo)
-                row, marks = _marks(b, _MARK)
+                row, marks = _marks(b)
                 text = w.words(data, offs, w.SPACED, False)
                 at, h = text.runs(window)
                 word = text.first[row] + marks["place"]
