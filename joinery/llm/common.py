@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +61,7 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
 
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of finished steps."""
+    gc.collect()  # Python's handles first
     spark.sparkContext._jvm.System.gc()
 
 

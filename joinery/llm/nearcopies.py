@@ -8,8 +8,9 @@
    share one of the ``k / 2 + 1`` rarest by any common order; only those are listed, the rarest
    first by a count of values in a table of fixed size.  For sets smaller than the
    sketch the same bound follows from the similarity itself.
-3. *Round one* links each list's members to its least one and to the next larger set; *round two*
-   takes all pairs of a list whose members are in different components by then.
+3. *Rounds.*  The first links each list's members to its least one and to the next larger set; the
+   second links neighbours in ``CHAINS`` shuffled orders, if they are in different components by then;
+   the last takes every pair of a list whose members are still in different components.
    So a group of copies costs links in its size, not its square, and no list is cut.
 4. *Union-sketch estimate*: the share of the ``k`` smallest values of both sketches' union that
    both have.  Under 0.8 less five standard errors the pair is dropped; with both sets whole it is exact.
@@ -32,9 +33,8 @@ from pyspark.sql import functions as F
 from . import common, components
 from . import words as w
 
-K, SLOT_BITS, BROADCAST_IDS = 64, 19, 40_000
+K, SLOT_BITS, ID_BITS, CHAINS = 64, 19, 22, 5
 _POST = np.dtype([("value", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("group", "<i8")])
-_UMAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -108,7 +108,7 @@ def _listed(n: int, k: int, percent: int) -> int:
     return max(1, min(m, m - sure + 1))
 
 
-def _lists(classes: DataFrame, counts: np.ndarray, k: int, percent: int, round_two: bool) -> DataFrame:
+def _lists(classes: DataFrame, counts: np.ndarray, k: int, percent: int, rounds: str) -> DataFrame:
     """Candidate pairs (a, b) of the inverted lists; classes: rep, n, sketch, group."""
     parts = common.shuffle_parts(classes.sparkSession)
     shared = classes.sparkSession.sparkContext.broadcast(counts)  # of fixed size
@@ -140,18 +140,26 @@ def _lists(classes: DataFrame, counts: np.ndarray, k: int, percent: int, round_t
             both = both[both[:, 0] != both[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-        if not round_two:
+        near = lambda x, y: 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+        if rounds == "star":
             doc, n = r["doc"], r["n"].astype(np.int64)
-            least = np.repeat(np.minimum.reduceat(doc, cut), size) if len(cut) else doc
             lists = np.repeat(np.arange(len(cut)), size)
-            at = np.flatnonzero(doc == least)
+            least = np.minimum.reduceat(doc, cut)[lists] if len(cut) else doc
             least_n = np.zeros(len(cut), np.int64)
+            at = np.flatnonzero(doc == least)
             least_n[lists[at]] = n[at]
-            near = lambda x, y: 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-            star = (doc != least) & near(n, least_n[lists] if len(n) else n)
-            chain = np.flatnonzero((r["value"][1:] == r["value"][:-1]) & near(n[1:], n[:-1])) if len(r) else np.empty(0, np.int64)
+            star = (doc != least) & near(n, least_n[lists])
+            chain = np.flatnonzero((r["value"][1:] == r["value"][:-1]) & near(n[1:], n[:-1]))
             yield from emit(np.r_[doc[star], doc[chain]], np.r_[least[star], doc[chain + 1]])
             return
+        if rounds == "chains":
+            found = []
+            for salt in range(CHAINS):
+                order = np.lexsort((w.mix(r["doc"].astype(np.uint64) + np.uint64(salt << 56)), r["value"]))
+                x, y = r[order[:-1]], r[order[1:]]
+                found.append((x["doc"], y["doc"], (x["value"] == y["value"]) & (x["group"] != y["group"]) & near(x["n"].astype(np.int64), y["n"].astype(np.int64))))
+            yield from emit(np.concatenate([x[ok] for x, _, ok in found]), np.concatenate([y[ok] for _, y, ok in found]))
+            return
         held: list[tuple[np.ndarray, np.ndarray]] = []
         total = 0
         for c, m in zip(cut[size > 1].tolist(), size[size > 1].tolist(), strict=True):
@@ -206,13 +214,47 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, sure boolean")
 
 
+def _screened(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Documents that may be in pairs: by a bit table of fixed size (512 KB), so that few other texts are shuffled."""
+    slots = 1 << ID_BITS
+    slot = lambda ids: (w.mix(ids.astype(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(slots, bool)
+        for b in batches:
+            for c in ("a", "b"):
+                table[slot(b.column(c).to_numpy(zero_copy_only=False))] = True
+        if table.any():
+            packed = np.packbits(table).reshape(16, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in packed], pa.binary())], names=["_bucket", "_blob"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, blob in zip(b.column("_bucket").to_pylist(), b.column("_blob").to_pylist(), strict=True):
+                got[i] = got.get(i, 0) | np.frombuffer(blob, np.uint8)
+        for i, x in got.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["_bucket", "_blob"])
+
+    table = np.zeros((16, slots // 128), np.uint8)
+    for row in pairs.select("a", "b").mapInArrow(bits, common.PACKED).repartition(16, "_bucket").mapInArrow(either, common.PACKED).collect():
+        table[row[0]] = np.frombuffer(row[1], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        for b in batches:
+            ids = b.column("doc_id").cast(pa.int64())
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(known & own[slot(ids.fill_null(0).to_numpy(zero_copy_only=False))]))
+
+    return docs.select("doc_id", "text").mapInArrow(keep, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links among pairs (a, b), by the full sets of their texts."""
-    ids = common.materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS  # then a proven bound: 8 bytes each
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi") if few else docs
     parts = common.shuffle_parts(docs.sparkSession)
-    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(parts, "doc_id")
+    texts = _screened(docs, pairs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(parts, "doc_id")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,18 +302,23 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K) ->
     classes = sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
     classes = common.materialise(classes, "classes")
     counts = _value_counts(classes)
-    first = _lists(classes.withColumn("group", F.lit(0).cast("long")), counts, k, percent, False)
-    links = _links(first, classes, docs, shingle, k, percent)
-    common.drop_shuffles(spark)
     # rows that share a doc_id are one document
     shared = sets.select("doc_id", "n", "s1", "s2").distinct().join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"])
-    same = shared.filter("rep <> doc_id").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    label = components.components(links.unionByName(same))
-    grouped = classes.join(label, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep"))
-    second = _lists(grouped.select("rep", "n", "sketch", "group"), counts, k, percent, True)
-    more = _links(second, classes, docs, shingle, k, percent)
-    if not more.isEmpty():
-        label = components.components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    links = shared.filter("rep <> doc_id").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    label = None
+    for rounds in ("star", "chains", "all"):
+        if label is None:
+            grouped = classes.withColumn("group", F.lit(0).cast("long"))
+        else:
+            grouped = classes.join(label, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep"))
+        pairs = _lists(grouped.select("rep", "n", "sketch", "group"), counts, k, percent, rounds)
+        more = _links(pairs, classes, docs, shingle, k, percent)
+        if label is None:
+            label = components.components(links.unionByName(more))
+        elif not more.isEmpty():
+            label = components.components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        del pairs, more, grouped
+        common.drop_shuffles(spark)
     final = classes.join(label, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("_component"))
     # a doc_id with several texts gets the least of their components, which are one
     out = own.join(final, ["n", "s1", "s2"], "left")
