@@ -153,11 +153,11 @@ def _census(text: w.Words, counts: np.ndarray) -> None:
         counts[level] += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=counts.shape[1])
 
 
-def _groups(text: w.Words, starts: np.ndarray, own: np.ndarray, open_slots: np.ndarray) -> np.ndarray:
+def _groups(text: w.Words, starts: np.ndarray, own: np.ndarray, open_slots: np.ndarray, window: int) -> np.ndarray:
     """The group of each suffix: a hash of its shortest prefix that is rare enough, else of its window."""
     group, todo = own.copy(), np.ones(len(starts), bool)
     for level, depth in enumerate(DEPTHS):
-        if not todo.any():
+        if depth >= window or not todo.any():
             break
         at, h = text.runs(depth)
         mine = h[np.searchsorted(at, starts[todo])]
@@ -257,7 +257,7 @@ def removed_windows(docs: DataFrame, anchors: DataFrame, census: np.ndarray, win
                 r = np.empty(len(starts), _SUFFIX)
                 r["key"], r["doc"], r["place"] = h, ids[at + of], starts - text.first[of]
                 found.append(r)
-                keys.append(_groups(text, starts, h, open_slots))
+                keys.append(_groups(text, starts, h, open_slots, window))
             if found:
                 r, groups = np.concatenate(found), np.concatenate(keys)
                 yield from common.pack(*_swap(_meet(r, (groups % np.uint64(parts)).astype(np.int64), parts), parts))
