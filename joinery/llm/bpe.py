@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 #: The split pattern and the byte alphabet of byte-level BPE: fixed values of the public format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bound on cached chunks a Python worker (about 150 MB); the cache is emptied beyond it.
-MAX_CACHED = 400_000
+#: Bound on cached chunks a Python worker (about 100 MB), in two halves: the older one is dropped when the other is full.
+MAX_CACHED = 300_000
 
 
 def _alphabet() -> dict[str, int]:
@@ -184,7 +184,7 @@ class Chunked:
     def __init__(self, encoder) -> None:
         import re
 
-        self.encoder, self.known = encoder, {}
+        self.encoder, self.known, self.former = encoder, {}, {}
         self._odd = re.compile(r"\s\s")
         self._cut = re.compile(r"(?<=\S) (?=\S)")
 
@@ -197,10 +197,15 @@ class Chunked:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        if len(known) > MAX_CACHED:
-            known.clear()
-        split = [self.chunks(x) for x in texts]
-        new = list({c: 0 for cs in split for c in cs if c not in known})
+        if len(known) > MAX_CACHED // 2:  # what comes again is taken over from the former half
+            self.former, self.known = known, {}
+            known = self.known
+        split, former, new = [self.chunks(x) for x in texts], self.former, []
+        for c in {c for cs in split for c in cs if c not in known}:
+            if c in former:
+                known[c] = former[c]
+            else:
+                new.append(c)
         for at in range(0, len(new), 50_000):
             some = new[at : at + 50_000]
             known.update(zip(some, self.encoder.encode_chunks(some), strict=True))
