@@ -23,7 +23,7 @@ links are those of any of its texts); a null doc_id is linked with nothing and k
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common, components
 from . import words as w
 
-K, SLOT_BITS, ID_BITS, CHAINS = 64, 19, 22, 5
+K, SLOT_BITS, ID_BITS, CHAINS, CELL_BYTES = 64, 19, 22, 5, 32 << 20
 _POST = np.dtype([("value", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("group", "<i8")])
 
 
@@ -184,34 +184,56 @@ def _lists(classes: DataFrame, counts: np.ndarray, k: int, percent: int, rounds:
     return packed.repartition(parts, "_bucket").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def _in_cells(pairs: DataFrame, payload: DataFrame, bytes_in_all: int, judge: Callable[[pa.Table, pa.Table], pa.Table], out: str) -> DataFrame:
+    """Judge pairs (a, b) with their documents' payload (by doc_id) at hand.
+
+    Documents are dealt into blocks of about ``CELL_BYTES``, and the pairs of two blocks meet in a cell:
+    a document is sent once a cell that needs it, not once a pair.
+    """
+    blocks = max(16, -(-bytes_in_all // CELL_BYTES))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    keyed = pairs.select("a", "b", (block("a") * blocks + block("b")).alias("cell"))
+    wanted = keyed.select(F.col("cell").alias("in_cell"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return keyed.groupBy("cell").cogroup(wanted.join(payload, "doc_id").groupBy("in_cell")).applyInArrow(judge, out)
+
+
+def _rows_of(held: pa.Table) -> dict[int, list[int]]:
+    """Rows by doc_id: several, if a doc_id has several texts."""
+    rows: dict[int, list[int]] = {}
+    for i, d in enumerate(held.column("doc_id").to_pylist()):
+        rows.setdefault(d, []).append(i)
+    return rows
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, n_classes: int, k: int, percent: int) -> DataFrame:
     """Pairs that may be similar, with ``sure``: both sets were whole, so it is known."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     slack = 5 * (0.16 / k) ** 0.5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, sure = [], []
-            for i, (n, m, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True)):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                joined = np.sort(np.concatenate([x, y]))
-                twice = np.flatnonzero(joined[1:] == joined[:-1])
-                if n <= k and m <= k:
-                    if 100 * len(twice) >= percent * (len(joined) - len(twice)):
-                        keep.append(i)
-                        sure.append(True)
-                    continue
-                values = len(joined) - len(twice)
-                top = min(k, values)
-                # values of the union below its k-th: a value counts once, at its first place
-                both = int((twice - np.arange(len(twice)) < top).sum())
-                if both >= (percent / 100 - slack) * top:
-                    keep.append(i)
-                    sure.append(False)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("b").take(at), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, sure boolean")
+    def likely(n: int, x: np.ndarray, m: int, y: np.ndarray) -> tuple[bool, bool]:
+        joined = np.sort(np.concatenate([x, y]))
+        twice = np.flatnonzero(joined[1:] == joined[:-1])
+        values = len(joined) - len(twice)
+        if n <= k and m <= k:
+            ok = 100 * len(twice) >= percent * values
+            return ok, ok
+        top = min(k, values)
+        # values of the union below its k-th: a value counts once, at its first place
+        return int((twice - np.arange(len(twice)) < top).sum()) >= (percent / 100 - slack) * top, False
+
+    def judge(some: pa.Table, held: pa.Table) -> pa.Table:
+        rows, sizes = _rows_of(held), held.column("n").to_pylist()
+        sketch = [np.frombuffer(x, "<u8") for x in held.column("sketch").to_pylist()]
+        keep, sure = [], []
+        for i, (a, b) in enumerate(zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True)):
+            found = [likely(sizes[x], sketch[x], sizes[y], sketch[y]) for x in rows.get(a, []) for y in rows.get(b, [])]
+            if any(ok for ok, _ in found):
+                keep.append(i)
+                sure.append(any(known for _, known in found))
+        at = pa.array(keep, pa.int64())
+        return pa.table([some.column("a").take(at), some.column("b").take(at), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+
+    own = classes.select(F.col("rep").cast("long").alias("doc_id"), "n", "sketch")
+    return _in_cells(pairs, own, n_classes * 8 * k, judge, "a long, b long, sure boolean")
 
 
 def _screened(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -251,46 +273,39 @@ def _screened(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(keep, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, set_bytes: int, size: int, percent: int) -> DataFrame:
     """Links among pairs (a, b), by the full sets of their texts."""
-    parts = common.shuffle_parts(docs.sparkSession)
-    texts = _screened(docs, pairs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(parts, "doc_id")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(column: pa.Array) -> list[np.ndarray]:
-            out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(column)
-            for at, rows, h in shingle_sets(column, size):
-                cut = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.empty(0, np.int64)
-                for c, d in zip(cut, np.r_[cut[1:], len(rows)], strict=True):
-                    out[at + rows[c]] = h[c:d]
-            return out
-
-        for whole in batches:
-            for at, to, _, _ in w.parts(whole.column("tb"), 2 << 20):
-                b = whole.slice(at, to - at)
-                keys, index = np.unique(b.column("a").to_numpy(), return_index=True)  # a's text is seen once a slice
-                left = dict(zip(keys.tolist(), sets(b.column("ta").take(pa.array(index))), strict=True)) if len(keys) < b.num_rows else None
-                left_sets = sets(b.column("ta")) if left is None else [left[a] for a in b.column("a").to_pylist()]
-                keep = []
-                for i, (x, y) in enumerate(zip(left_sets, sets(b.column("tb")), strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both and 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(i)
-                picked = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("a").take(picked), b.column("b").take(picked)], names=["a", "b"])
-
-    joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    def judge(some: pa.Table, held: pa.Table) -> pa.Table:
+        rows = _rows_of(held)
+        sets: list[np.ndarray] = [np.empty(0, np.uint64)] * held.num_rows
+        for at, own, h in shingle_sets(held.column("text"), size):
+            cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+            for c, d in zip(cut, np.r_[cut[1:], len(own)], strict=True):
+                sets[at + own[c]] = h[c:d]
+        keep = []
+        for i, (a, b) in enumerate(zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True)):
+            for x, y in ((sets[x], sets[y]) for x in rows.get(a, []) for y in rows.get(b, [])):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(i)
+                    break
+        at = pa.array(keep, pa.int64())
+        return pa.table([some.column("a").take(at), some.column("b").take(at)], names=["a", "b"])
+
+    texts = _screened(docs, pairs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _in_cells(pairs.select("a", "b"), texts, set_bytes, judge, "a long, b long")
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, k: int, percent: int) -> DataFrame:
-    likely = common.materialise(_estimated(pairs, classes, k, percent), "likely")
+    n_classes, shingles = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    pairs = common.materialise(pairs, "pairs")
+    likely = common.materialise(_estimated(pairs, classes, n_classes, k, percent), "likely")
     sure = likely.filter("sure").select("a", "b")
     open_pairs = likely.filter("not sure")
     if open_pairs.isEmpty():
         return sure
-    return common.materialise(sure.unionByName(_verified(open_pairs, docs, size, percent)), "verified")
+    return common.materialise(sure.unionByName(_verified(open_pairs, docs, 8 * shingles, size, percent)), "verified")
 
 
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K) -> DataFrame:
