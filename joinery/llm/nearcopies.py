@@ -11,7 +11,9 @@
 3. *Rounds.*  The first links each list's members to its least one and to the next larger set; the
    second links neighbours in ``CHAINS`` shuffled orders, if they are in different components by then;
    the last takes every pair of a list whose members are still in different components.
-   So a group of copies costs links in its size, not its square, and no list is cut.
+   So a group of copies costs links in its size, not its square, and no list is cut.  In the last round
+   a list of more than ``LONG_LIST`` members emits no pairs: it is dealt into blocks by set size, and each two
+   blocks that can hold similar sets are compared whole, by exact overlaps of all their sets at once.
 4. *Union-sketch estimate*: the share of the ``k`` smallest values of both sketches' union that
    both have.  Under 0.8 less five standard errors the pair is dropped; with both sets whole it is exact.
 5. *Exact verification* on the full sets, from the documents' texts.
@@ -34,6 +36,7 @@ from . import common, components
 from . import words as w
 
 K, SLOT_BITS, ID_BITS, CHAINS, CELL_BYTES = 64, 19, 22, 5, 32 << 20
+LONG_LIST, BLOCK_SETS, BLOCK_SHINGLES, OFTEN = 64, 1024, 1 << 20, 24
 _POST = np.dtype([("value", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("group", "<i8")])
 
 
@@ -109,7 +112,10 @@ def _listed(n: int, k: int, percent: int) -> int:
 
 
 def _lists(classes: DataFrame, counts: np.ndarray, k: int, percent: int, rounds: str) -> DataFrame:
-    """Candidate pairs (a, b) of the inverted lists; classes: rep, n, sketch, group."""
+    """Candidate pairs (a, b) of the inverted lists; classes: rep, n, sketch, group.
+
+    In the last round also members of long lists' cells: a is the document, b its group.
+    """
     parts = common.shuffle_parts(classes.sparkSession)
     shared = classes.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
@@ -135,10 +141,29 @@ def _lists(classes: DataFrame, counts: np.ndarray, k: int, percent: int, rounds:
         cut = np.flatnonzero(np.r_[True, r["value"][1:] != r["value"][:-1]]) if len(r) else np.empty(0, np.int64)
         size = np.diff(np.r_[cut, len(r)])
 
+        def rows_of(a: np.ndarray, b: np.ndarray, member: bool, cell: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), member)), pa.array(cell, pa.int64())], names=["a", "b", "member", "cell"])
+
         def emit(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
             both = both[both[:, 0] != both[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            yield rows_of(both[:, 0], both[:, 1], False, np.zeros(len(both), np.int64))
+
+        def in_blocks(own: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """A long list, by set size: each two blocks with sets that can be similar are a cell."""
+            n = own["n"].astype(np.int64)
+            _, first, block = np.unique(np.maximum(np.cumsum(n) // BLOCK_SHINGLES, np.arange(len(n)) // BLOCK_SETS), return_index=True, return_inverse=True)
+            ends = np.r_[first[1:], len(n)]
+            similar = lambda i, j: 100 * n[ends[i] - 1] >= percent * n[first[j]]
+            for i in range(len(first)):
+                later = next((j for j in range(i + 1, len(first)) if not similar(i, j)), len(first))
+                # a cell of two blocks also compares each within itself
+                alone = later == i + 1 and not (i and similar(i - 1, i))
+                for j in [i] if alone else range(i + 1, later):
+                    both = own[first[i] : ends[i]] if i == j else np.concatenate([own[first[i] : ends[i]], own[first[j] : ends[j]]])
+                    if (both["group"] != both["group"][0]).any():
+                        cell = w.mix(both["value"] ^ w.mix(np.full(len(both), (i << 32) + j + 1, np.uint64)))
+                        yield rows_of(both["doc"], both["group"], True, cell.view(np.int64))
 
         near = lambda x, y: 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
         if rounds == "star":
@@ -166,6 +191,9 @@ def _lists(classes: DataFrame, counts: np.ndarray, k: int, percent: int, rounds:
             own = r[c : c + m]
             if (own["group"] == own["group"][0]).all():
                 continue
+            if m > LONG_LIST:
+                yield from in_blocks(own)
+                continue
             n, group, doc = own["n"].astype(np.int64), own["group"], own["doc"]
             ends = np.searchsorted(n, n * 100 // percent, side="right")  # sizes that can be similar
             for i in range(m - 1):
@@ -181,7 +209,7 @@ def _lists(classes: DataFrame, counts: np.ndarray, k: int, percent: int, rounds:
             yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     packed = classes.select("rep", "n", "sketch", "group").mapInArrow(post, common.PACKED)
-    return packed.repartition(parts, "_bucket").mapInArrow(pairs, "a long, b long").distinct()
+    return packed.repartition(parts, "_bucket").mapInArrow(pairs, "a long, b long, member boolean, cell long").distinct()
 
 
 def _in_cells(pairs: DataFrame, payload: DataFrame, bytes_in_all: int, judge: Callable[[pa.Table, pa.Table], pa.Table], out: str) -> DataFrame:
@@ -297,11 +325,58 @@ def _verified(pairs: DataFrame, docs: DataFrame, set_bytes: int, size: int, perc
     return _in_cells(pairs.select("a", "b"), texts, set_bytes, judge, "a long, b long")
 
 
+def _overlaps(row: np.ndarray, value: np.ndarray, n_rows: int) -> np.ndarray:
+    """How many values each two rows share: frequent values by matrix products, others pair by pair."""
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    total = np.zeros(n_rows * n_rows, np.int64)
+    if not len(row):
+        return total.reshape(n_rows, n_rows)
+    cut = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+    often = np.diff(np.r_[cut, len(row)])
+    for f in range(2, OFTEN + 1):
+        own, step = cut[often == f], max(1, (1 << 20) // (f * f))
+        for at in range(0, len(own), step):
+            who = row[own[at : at + step, None] + np.arange(f)]
+            total += np.bincount((who[:, :, None] * n_rows + who[:, None, :]).ravel(), minlength=n_rows * n_rows)
+    total = total.reshape(n_rows, n_rows)
+    many = np.flatnonzero(often > OFTEN)
+    for at in range(0, len(many), 2048):
+        some = many[at : at + 2048]
+        has = np.zeros((n_rows, len(some)), np.float32)
+        for i, v in enumerate(some.tolist()):
+            has[row[cut[v] : cut[v] + often[v]], i] = 1
+        total += (has @ has.T).astype(np.int64)
+    return total
+
+
+def _in_blocks(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between members (a: document, b: group, cell) of each cell that are in different groups, by their full sets."""
+
+    def judge(held: pa.Table) -> pa.Table:
+        rows = held.num_rows
+        ids, group = (held.column(c).to_numpy() for c in ("a", "b"))
+        parts = [(at + own, h) for at, own, h in shingle_sets(held.column("text"), size)]
+        own, h = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        n = np.bincount(own, minlength=rows)
+        both = _overlaps(own, h, rows)
+        ok = (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+        ok &= group[:, None] != group[None, :]
+        x, y = np.nonzero(np.triu(ok, 1))
+        return pa.table([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
+
+    texts = _screened(docs, members.select("a", F.col("a").alias("b"))).select(F.col("doc_id").cast("long").alias("a"), "text")
+    return members.join(texts, "a").groupBy("cell").applyInArrow(judge, "a long, b long").distinct()
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, k: int, percent: int) -> DataFrame:
     n_classes, shingles = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    pairs = common.materialise(pairs, "pairs")
+    found = common.materialise(pairs, "pairs")
+    pairs, members = found.filter("not member").select("a", "b"), found.filter("member")
     likely = common.materialise(_estimated(pairs, classes, n_classes, k, percent), "likely")
     sure = likely.filter("sure").select("a", "b")
+    if not members.isEmpty():
+        sure = sure.unionByName(common.materialise(_in_blocks(members, docs, size, percent), "compared"))
     open_pairs = likely.filter("not sure")
     if open_pairs.isEmpty():
         return sure

@@ -42,6 +42,22 @@ def test_near(spark, rows):
     assert nearcopies.groups(docs(spark, [])).count() == 0
 
 
+def test_near_long_lists(spark, rows, monkeypatch):
+    for name, least in (("LONG_LIST", 3), ("BLOCK_SETS", 4), ("BLOCK_SHINGLES", 600)):
+        monkeypatch.setattr(nearcopies, name, least)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nearcopies.groups(docs(spark, rows), 2).collect()}
+    assert got == brute.near(rows, 2)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    has = rng.random((60, 300)) < rng.choice([0.02, 0.2, 0.9], 300)
+    row, value = np.nonzero(has)
+    shared = has[:, has.sum(0) > 1].astype(int)
+    assert (nearcopies._overlaps(row, value.astype(np.uint64), 60) == shared @ shared.T).all()
+    assert nearcopies._overlaps(row[:0], value[:0].astype(np.uint64), 3).sum() == 0
+
+
 def test_substrings(spark, rows):
     got = {r.doc_id: tuple(r[1:]) for r in substrings.digests(docs(spark, rows)).collect()}
     assert got == brute.substrings(rows)
