@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +138,48 @@ def best_other(scored: DataFrame) -> DataFrame:
     return own.select("q", "t", F.col("cos").alias("own"), "other", F.round(F.col("cos") - F.col("other"), 6).alias("gap"), "rnk", "n_close")
 
 
+def label_cosines(vectors: DataFrame, block: int = 1024) -> DataFrame:
+    """a, b, cos: every two vectors of a label, a < b; cos is null where it is undefined (missing or zero vectors, different lengths).
+
+    Blocks of at most ``block`` vectors meet through an equi-join on label and bucket, so memory is bounded by a cell
+    of two blocks; every pair is a row, so the work grows with the square of a label.
+    """
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    label = vectors.schema["label"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            groups: dict[tuple, list] = {}
+            for i, k, v in zip(*(b.column(c).to_pylist() for c in ("vec_id", "label", "embedding")), strict=True):
+                dim = -1 if v is None or None in v else len(v)
+                groups.setdefault((k, dim), []).append((i, v))
+            for (k, dim), own in groups.items():
+                for at in range(0, len(own), block):
+                    ids, values = zip(*own[at : at + block], strict=True)
+                    x = np.array(values, "<f8").tobytes() if dim > 0 else b""
+                    yield pa.RecordBatch.from_arrays([pa.array([k], b.column("label").type), pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([x], pa.binary())], names=["label", "dim", "ids", "x"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                a, b = (np.frombuffer(r[k], "<i8") for k in ("ids_a", "ids_b"))
+                i, j = np.nonzero(a[:, None] < b[None])
+                cos = np.full(len(i), np.nan)
+                undefined = np.ones(len(i), bool)
+                if r["dim_a"] == r["dim_b"] > 0:
+                    x, y = (np.frombuffer(r[k], "<f8").reshape(-1, r["dim_a"]) for k in ("x_a", "x_b"))
+                    norms = ((x**2).sum(1)[:, None] * (y**2).sum(1)[None])[i, j]
+                    undefined = norms == 0
+                    cos = np.round((x @ y.T)[i, j] / np.sqrt(np.where(undefined, 1.0, norms)), 6) + 0.0  # no negative zero
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(cos, pa.float64(), mask=undefined)], names=["a", "b", "cos"])
+
+    own = vectors.filter("vec_id is not null and label is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    packed = own.coalesce(max(1, parts // 4)).mapInArrow(pack, f"label {label}, dim int, ids binary, x binary")
+    side = lambda k, bucket: packed.select("label", bucket.alias("bucket"), *[F.col(c).alias(f"{c}_{k}") for c in ("dim", "ids", "x")])
+    left, right = side("a", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")), side("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(right, ["label", "bucket"]).mapInArrow(cells, "a long, b long, cos double")
+
+
 def learn_transliteration(pairs: DataFrame, records: DataFrame, least: int = 3, jaccard: float = 0.2) -> DataFrame:
     """x, y, n: the token of source 1 that most often is missing where target token x is extra."""
     own = records.select("id", F.explode(F.array_distinct(x.tokens(F.col("core")))).alias("tok"))

@@ -199,9 +199,7 @@ def _ratios(s, d):
 
 @_query("embedding_cosine", "select a.vec_id a, b.vec_id b, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) cos from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id < 200 and b.vec_id < 200")
 def _embedding(s, d):
-    e = s.read.parquet(f"{d}/embeddings.parquet").filter("vec_id < 200")  # the pairs of a fixed block of vectors: what the query is about
-    a, b = (e.select(F.col("vec_id").alias(k), "label", F.col("embedding").alias(f"e{k}")) for k in "ab")
-    return a.join(b, "label").filter("a < b").select("a", "b", F.round(sim.cosine(F.col("ea"), F.col("eb")), 6).alias("cos"))
+    return linkage.label_cosines(s.read.parquet(f"{d}/embeddings.parquet"))
 
 
 @_query("scored_pairs", sql.upto("scored") + "select * from scored")

@@ -4,6 +4,7 @@ import itertools
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,17 @@ def test_expected_f_is_brute_force():
         assert decide.best_prefix(p) == value.index(max(value))
 
 
+def test_embedding_cosine_reads_the_whole_table(spark):
+    got = {(r.a, r.b): r.cos for r in catalog.queries()["embedding_cosine"](spark, SF).collect()}
+    rows = [r for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    want = {(p.vec_id, q.vec_id): float(np.dot(p.embedding, q.embedding) / np.linalg.norm(p.embedding) / np.linalg.norm(q.embedding)) for p in rows for q in rows if p.label == q.label and p.vec_id < q.vec_id}
+    assert got.keys() == want.keys() and all(abs(got[k] - c) < 1e-6 for k, c in want.items()) and max(b for _, b in got) >= 200
+    odd = spark.createDataFrame([(1, [1.0, 0.0], 3), (2, [-1.0, 0.0], 3), (3, [0.0, 0.0], 3), (4, None, 3), (5, [1.0], 3), (6, [1.0, 0.0], 4), (None, [1.0, 0.0], 3), (7, [1.0, None], 3)], "vec_id long, embedding array<double>, label int")
+    for block in (1, 1024):
+        pairs = {(r.a, r.b): r.cos for r in linkage.label_cosines(odd, block).collect()}
+        assert pairs == {k: -1.0 if k == (1, 2) else None for k in itertools.combinations((1, 2, 3, 4, 5, 7), 2)}
+
+
 def test_losses_sum(spark):
     entities, truth, cand, matched = catalog.entities(spark, SF), catalog.truth(spark, SF), catalog.cand(spark, SF), catalog.matched(spark, SF)
     rows = decide.losses(entities, matched, cand, truth).collect()
