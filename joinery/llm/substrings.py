@@ -97,8 +97,14 @@ def _doc_bucket(docs: np.ndarray, n: int) -> np.ndarray:
 
 
 def _meet(records: np.ndarray, bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Equal suffixes of a batch meet: the first stays with its group, the others are known repeats."""
+    """Equal suffixes of a batch meet: the first stays with its group, the others are known repeats.
+
+    A repeated row's suffix, equal in document and place too, is no repeat; one of them stands for all, as marks go to every row of a document.
+    """
     order = np.lexsort((records["place"], records["doc"], records["key"]))
+    once = np.ones(len(order), bool)
+    once[1:] = np.logical_or.reduce([records[c][order[1:]] != records[c][order[:-1]] for c in ("key", "doc", "place")])
+    order = order[once]
     records, bucket = records[order], bucket[order]
     same = np.zeros(len(records), bool)
     same[1:] = records["key"][1:] == records["key"][:-1]

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from joinery.llm import ann, bpe, brute, html, leaks, licenses, nearcopies, substrings, tokenfiles, toxicity, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -68,6 +69,15 @@ def test_substrings(spark, rows):
     assert same[0] == same[1]
 
 
+def test_substrings_of_repeated_rows(spark):
+    own = [" ".join(f"{k}{i}" for i in range(30)) for k in "abc"]
+    rows = [(5, own[0]), (5, own[0]), (6, own[1]), (6, own[1]), (6, own[0]), (7, f"{own[0]} {own[2]}"), (None, own[2]), (None, own[2])]
+    got = sorted(((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in substrings.dedup(docs(spark, rows).coalesce(1)).collect()))
+    assert got == sorted([("5", 30, 0, own[0])] * 2 + [("6", 30, 0, own[1])] * 2 + [("6", 30, 30, ""), ("7", 60, 60, "")] + [("None", 30, 0, own[2])] * 2)
+    two = corpus_pipeline.without_repeated_passages(spark, spark.createDataFrame([(5, own[0], "en", "s", 1)] * 2, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1), "")
+    assert [r.text for r in two.collect()] == [own[0]] * 2
+
+
 @pytest.mark.parametrize("block", [10**6, 30])
 def test_leaks(spark, rows, block):
     rng = random.Random(5)
