@@ -146,10 +146,9 @@ def _best_prefix(p: pd.Series) -> pd.Series:
     return p.map(best_prefix).astype("int32")
 
 
-def expected_f(pairs: DataFrame, most: int = 16) -> DataFrame:
-    """s1, t, p: the prefix of each entity's ``most`` best pairs with the greatest expected F0.5."""
-    top = survivors(pairs, most, 0.0)
-    lists = top.groupBy("s1").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), F.col("t").alias("t")))).alias("c"))
+def expected_f(pairs: DataFrame) -> DataFrame:
+    """s1, t, p: the prefix of each entity's whole list with the greatest expected F0.5."""
+    lists = pairs.filter(F.col("p") >= 0).groupBy("s1").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("o"), F.col("t").alias("t")))).alias("c"))
     chosen = lists.withColumn("k", _best_prefix(F.transform("c", lambda x: -x["o"])))
     return chosen.select("s1", F.explode(F.slice("c", F.lit(1), F.col("k"))).alias("c")).select("s1", "c.t", (-F.col("c.o")).alias("p"))
 

@@ -66,6 +66,13 @@ def test_expected_f_is_brute_force():
         assert decide.best_prefix(p) == value.index(max(value))
 
 
+def test_expected_f_uses_the_whole_list(spark):
+    pairs = [(1, t, 0.6) for t in range(30)] + [(2, t, 0.3 if t < 4 else 0.2) for t in range(30)]
+    got = decide.expected_f(spark.createDataFrame(pairs, "s1 long, t long, p double")).groupBy("s1").count().collect()
+    want = {s: decide.best_prefix([p for k, _, p in pairs if k == s]) for s in (1, 2)}
+    assert {r.s1: r["count"] for r in got} == want and want[1] == 30
+
+
 def test_embedding_cosine_reads_the_whole_table(spark):
     got = {(r.a, r.b): r.cos for r in catalog.queries()["embedding_cosine"](spark, SF).collect()}
     rows = [r for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
