@@ -100,16 +100,21 @@ def idf(postings: DataFrame, max_df: float) -> DataFrame:
     return df.filter(F.col("df") <= F.col("n") * max_df).select("country", "g", (1 + F.log((1 + F.col("n")) / (1 + F.col("df")))).alias("idf"))
 
 
+def unit_postings(records: DataFrame, view: str, char: bool, max_df: float) -> DataFrame:
+    """id, src, country, g, w: the grams of each record weighted by IDF, to length 1."""
+    postings = grams(records, view, char)
+    weighted = postings.join(idf(postings, max_df), ["country", "g"])
+    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    return weighted.join(norm, "id").select("id", "src", "country", "g", (F.col("idf") / F.col("norm")).alias("w"))
+
+
 def cosine_top(records: DataFrame, view: str, char: bool = False, max_df: float = 0.05, top: int = 5, reverse: bool = False) -> DataFrame:
     """q, t, cos, rn: each query's best by IDF cosine, within a country and a target source.
 
     An inverted-index join: common grams are cut before it, so lists are bounded by max_df; products
     are added up on the map side first, and row_number() <= top plans as a group limit on both sides.
     """
-    postings = grams(records, view, char)
-    weighted = postings.join(idf(postings, max_df), ["country", "g"])
-    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    unit = weighted.join(norm, "id").select("id", "src", "country", "g", (F.col("idf") / F.col("norm")).alias("w"))
+    unit = unit_postings(records, view, char, max_df)
     q, t = (unit.filter("src > 1"), unit.filter("src = 1")) if reverse else (unit.filter("src = 1"), unit.filter("src > 1"))
     hits = q.select(F.col("id").alias("q"), "country", "g", F.col("w").alias("wq")).join(t.select(F.col("id").alias("t"), F.col("src").alias("tsrc"), "country", "g", "w"), ["country", "g"])
     scored = hits.groupBy("q", "t", "tsrc").agg(F.round(F.sum(F.col("wq") * F.col("w")), 6).alias("cos"))
@@ -127,7 +132,7 @@ def channel_union(channels: dict[str, DataFrame]) -> DataFrame:
 
 
 def best_other(scored: DataFrame) -> DataFrame:
-    """q, t, own, other, gap, rnk, n_close: each pair against the best other s1 of its target (q is the target)."""
+    """q, t, own, other, gap, rnk, n_close: each pair of ``scored`` against the best other s1 in its target's list there (q is the target)."""
     w = Window.partitionBy("q").orderBy(F.desc("cos"), "t")
     ranked = scored.withColumn("rn", F.row_number().over(w)).withColumn("rnk", F.rank().over(Window.partitionBy("q").orderBy(F.desc("cos"))))
     whole = Window.partitionBy("q")
@@ -138,6 +143,25 @@ def best_other(scored: DataFrame) -> DataFrame:
     return own.select("q", "t", F.col("cos").alias("own"), "other", F.round(F.col("cos") - F.col("other"), 6).alias("gap"), "rnk", "n_close")
 
 
+def reverse_features(pairs: DataFrame, records: DataFrame, view: str, char: bool = False, max_df: float = 0.05, top: int = 6) -> DataFrame:
+    """s1, t, own, other, gap, rnk, n_close of every pair, also where its s1 is not among its target's ``top`` best.
+
+    own is the pair's cosine, taken directly; the others come from the target's list without the pair's s1: the best of
+    them (0 if there is none), 1 + how many are above own, and how many are no more than 0.05 below it.
+    """
+    unit = unit_postings(records, view, char, max_df)
+    side = lambda k: unit.select(F.col("id").alias(k), "country", "g", F.col("w").alias(f"w{k}"))
+    both = pairs.select("s1", "t").join(side("s1"), "s1").join(side("t"), ["t", "country", "g"])
+    cos = both.groupBy("s1", "t").agg(F.round(F.sum(F.col("wt") * F.col("ws1")), 6).alias("cos"))
+    own = pairs.select("s1", "t").join(cos, ["s1", "t"], "left").select("s1", "t", F.coalesce("cos", F.lit(0.0)).alias("own"))
+    hits = cosine_top(records, view, char, max_df, top, True).select(F.col("q").alias("h"), F.col("t").alias("o"), "cos")
+    joined = own.join(hits, (own["t"] == hits["h"]) & (own["s1"] != hits["o"]), "left")
+    out = joined.groupBy("s1", "t", "own").agg(
+        F.coalesce(F.max("cos"), F.lit(0.0)).alias("other"), (1 + F.count_if(F.col("cos") > F.col("own"))).alias("rnk"), F.count_if(F.col("cos") >= F.col("own") - 0.05).alias("n_close")
+    )
+    return out.select("s1", "t", "own", "other", F.round(F.col("own") - F.col("other"), 6).alias("gap"), "rnk", "n_close")
+
+
 def label_cosines(vectors: DataFrame, block: int = 1024) -> DataFrame:
     """a, b, cos: every two vectors of a label, a < b; cos is null where it is undefined (missing or zero vectors, different lengths).
 

@@ -169,6 +169,11 @@ def _reverse(s, d):
     return linkage.best_other(linkage.cosine_top(norm(s, d), "name_norm", max_df=0.3, reverse=True))
 
 
+@_query("reverse_features")
+def _reverse_features(s, d):
+    return linkage.reverse_features(cand(s, d), norm(s, d), "name_norm", max_df=0.3)
+
+
 _TWO = "select s1, t, q.core qc, u.core tc, q.addr_norm qa, u.addr_norm ta, q.house qh, u.house th from cand join norm q on q.id = s1 join norm u on u.id = t"
 
 

@@ -84,6 +84,26 @@ def test_embedding_cosine_reads_the_whole_table(spark):
         assert pairs == {k: -1.0 if k == (1, 2) else None for k in itertools.combinations((1, 2, 3, 4, 5, 7), 2)}
 
 
+def test_reverse_features_of_every_candidate(spark):
+    rows = catalog.queries()["reverse_features"](spark, SF).collect()
+    assert len(rows) == catalog.cand(spark, SF).count() == len({(r.s1, r.t) for r in rows})
+    unit, vectors, source = linkage.unit_postings(catalog.norm(spark, SF), "name_norm", False, 0.3).collect(), {}, {}
+    for r in unit:
+        vectors.setdefault(r.id, {})[r.country, r.g] = r.w
+        source[r.id] = r.src
+    cos = lambda a, b: round(sum(w * vectors.get(b, {}).get(g, 0.0) for g, w in vectors.get(a, {}).items()), 6)
+    lists, outside = {}, 0
+    for r in rows:
+        if r.t not in lists:
+            every = ((cos(r.t, o), o) for o in vectors if source[o] == 1)
+            lists[r.t] = sorted(((c, o) for c, o in every if c > 0), key=lambda x: (-x[0], x[1]))[:6]
+        own, others = cos(r.t, r.s1), [c for c, o in lists[r.t] if o != r.s1]
+        outside += r.s1 not in {o for _, o in lists[r.t]}
+        want = own, max(others, default=0.0), 1 + sum(c > own for c in others), sum(c >= own - 0.05 for c in others)
+        assert (r.own, r.other, r.rnk, r.n_close) == (pytest.approx(want[0], abs=2e-6), pytest.approx(want[1], abs=2e-6), *want[2:])
+    assert outside
+
+
 def test_losses_sum(spark):
     entities, truth, cand, matched = catalog.entities(spark, SF), catalog.truth(spark, SF), catalog.cand(spark, SF), catalog.matched(spark, SF)
     rows = decide.losses(entities, matched, cand, truth).collect()
