@@ -1,4 +1,4 @@
-"""Substring deduplication over prefix-partitioned suffix trees (operator 9).
+"""Substring deduplication over hashed windows, dealt by prefixes (operator 9).
 
 A suffix is the words of a document from some place on.  Only nodes at least
 ``window`` words deep matter, so suffixes count by their first ``window``
@@ -8,11 +8,13 @@ words, and one suffix is 20 bytes: fingerprint, document, place.
    hash is its anchor, so equal windows have equal anchors.  Grams at anchors
    (about a sixth of all places) are grouped by hash; an anchor that occurs once is a leaf
    hanging above the depth that matters, and its windows are left out.  Nothing is lost.
-2. *Vertical partitioning.*  A census counts prefixes of 1, 2, 4, 8 and 16 words in a table
+2. *Routing.*  A census counts prefixes of 1, 2, 4, 8 and 16 words in a table
    of fixed size.  A suffix belongs to the shortest of its prefixes that no more than
-   ``group_size`` suffixes share, or to its whole window: variable-length prefixes give
-   groups that fit in memory.
-3. *Subtrees.*  Each group is sorted; leaves below one node of depth ``window`` are neighbours.
+   ``group_size`` suffixes share, or to its whole window; a hash of that prefix names the
+   partition.  Several groups share a partition, so ``group_size`` chooses prefixes only:
+   it bounds neither a partition's memory nor its work.
+3. *Grouping.*  A partition is taken as a whole and its suffixes sorted by the fingerprint of
+   their window; no tree is built.  Equal fingerprints are one node of depth ``window``.
    A node with two leaves or more is a repeat.  All its leaves but the first (smallest
    document, then place) are removed; unions of neighbouring ones are the maximal repeats.
 
