@@ -1,11 +1,20 @@
-"""BPE encoding by a prefix-sharing trie walk, and decoding (operator 8); chunk cache for operator 2.
+"""BPE encoding by a prefix-sharing trie walk, and decoding (operator 8); piece cache for operator 2.
 
 Method: the distinct words of a batch are inserted into a byte trie (kept as
 the sorted word list, whose neighbours' common prefixes are the trie's shared
 paths) and walked depth first.  A node's state is the *last token* of its
 prefix's encoding; it follows from the states above it: token ``t`` ends the
 prefix if ``t`` is a suffix of it and the state ``u`` before ``t`` and ``t``
-stay apart when merged.  So every shared prefix is encoded once.
+stay apart when merged.  So every shared prefix is encoded once.  The tokens that
+end a prefix come from a second trie, over the vocabulary, with links to the
+longest proper suffix that is in it: a step of the walk is a step there.
+
+Texts are cut before single spaces (``cuts``), equal chunks are found by Arrow's
+dictionary encoding, the split pattern runs over the distinct ones only, and ids
+of texts are gathered in numpy; per word of text no Python runs.
+
+Memory of a worker: a slice of ``SLICE`` bytes of text (one text at least) with its ids,
+``MAX_CACHED`` pieces, and ``MAX_PAIRS`` remembered pairs and steps.
 
 Defined results: null text is empty; empty text has no ids; identical rows
 give identical rows; columns other than those named are ignored.
@@ -14,17 +23,19 @@ give identical rows; columns other than those named are ignored.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The split pattern and the byte alphabet of byte-level BPE: fixed values of the public format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bound on cached chunks a Python worker (about 100 MB), in two halves: the older one is dropped when the other is full.
-MAX_CACHED = 300_000
+#: Bounds a Python worker: bytes of text at once, cached pieces (about 60 MB, in two halves: the older is dropped when the other is full), remembered pairs and steps (30 MB each).
+SLICE, MAX_CACHED, MAX_PAIRS = 8 << 20, 300_000, 300_000
 
 
 def _alphabet() -> dict[str, int]:
@@ -50,7 +61,9 @@ class TrieBPE:
             self.bytes[i] = b
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
-        self.longest = max(map(len, self.ids))
+        self.lengths = list(map(len, self.bytes))
+        sizes = np.array(self.lengths, np.int64)
+        self.table = sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(self.bytes), np.uint8)
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}  # pair of ids: rank, merged id
         self.halves: dict[int, tuple[int, int, int]] = {}  # merged id: left, right, rank
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -58,9 +71,60 @@ class TrieBPE:
             c = self.ids[self.bytes[a] + self.bytes[b]]
             self.merge.setdefault((a, b), (rank, c))
             self.halves.setdefault(c, (a, b, rank))
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}  # by u * size + t
         self._whole: dict[int, bool] = {}
-        self._splitter = None
+        self._step: dict[int, int] = {}
+        self._grow()
+
+    def _grow(self) -> None:
+        """The vocabulary as a trie: edges by node and byte, each node's token, and its longest proper suffix in the trie."""
+        self.edge: dict[int, int] = {}
+        self.token, parents, edge = [-1], [(0, 0)], self.edge
+        for word, i in self.ids.items():
+            at = 0
+            for byte in word:
+                to = edge.get(at << 8 | byte)
+                if to is None:
+                    to = edge[at << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                    parents.append((at, byte))
+                at = to
+            self.token[at] = i
+        depth = np.zeros(len(parents), np.int64)
+        for v in range(1, len(parents)):  # a parent is numbered before its children
+            depth[v] = depth[parents[v][0]] + 1
+        self.suffix = [0] * len(parents)
+        for v in np.argsort(depth, kind="stable").tolist():
+            if depth[v] > 1:
+                up, byte = parents[v]
+                self.suffix[v] = self.step(self.suffix[up], byte)
+        self._ending: list[tuple[tuple[int, int], ...] | None] = [None] * len(parents)
+
+    def step(self, at: int, byte: int) -> int:
+        """The node of the longest suffix of ``at`` and the byte that is in the vocabulary's trie."""
+        key = at << 8 | byte
+        to = self.edge.get(key)
+        if to is None and (to := self._step.get(key)) is None:
+            up = at
+            while up and (up << 8 | byte) not in self.edge:
+                up = self.suffix[up]
+            to = self.edge.get(up << 8 | byte, 0)
+            if len(self._step) >= MAX_PAIRS:
+                self._step.clear()
+            self._step[key] = to
+        return to
+
+    def ending(self, at: int) -> tuple[tuple[int, int], ...]:
+        """Tokens, with their lengths, that end here and encode to themselves; the longest first."""
+        got = self._ending[at]
+        if got is None:
+            out, up = [], at
+            while up:
+                if self.token[up] >= 0 and self.whole(self.token[up]):
+                    out.append((self.token[up], len(self.bytes[self.token[up]])))
+                up = self.suffix[up]
+            got = self._ending[at] = tuple(out)
+        return got
 
     def merged(self, word: bytes) -> list[int]:
         """Plain BPE: join the pair of lowest rank, leftmost first, until none is left."""
@@ -79,12 +143,13 @@ class TrieBPE:
         return self._whole[t]
 
     def apart(self, u: int, t: int) -> bool:
-        """Whether u, t is the encoding of their joined bytes: no merge ever crosses the border."""
-        key = (u, t)
-        if (got := self._apart.get(key)) is None:
-            got = self._apart[key] = self.whole(u) and self.whole(t) and self._stay(u, t)
-            if len(self._apart) > 4_000_000:
+        """Whether u, t, which encode to themselves, are the encoding of their joined bytes: no merge ever crosses the border."""
+        key = u * self.size + t
+        got = self._apart.get(key)
+        if got is None:
+            if len(self._apart) >= MAX_PAIRS:
                 self._apart.clear()
+            got = self._apart[key] = self._stay(u, t)
         return got
 
     def _stay(self, u: int, t: int) -> bool:
@@ -110,53 +175,72 @@ class TrieBPE:
                 until_right, t = right[2], right[0]
                 right = self.halves.get(t, (0, 0, -1))
 
-    def walk(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Encodings, as little-endian 32-bit ids, of distinct words; the trie of the sorted words depth first."""
-        out, ids, longest = {}, self.ids, self.longest
-        path, last = b"", [-1]  # the trie node we stand on and the state of each node above it
-        for word in sorted(words):
+    def walk(self, words: list[bytes]) -> list[bytes]:
+        """Encodings, as little-endian 32-bit ids, of distinct sorted words; their trie depth first."""
+        out, edge, step, ending_of, ending, known, apart, size = [], self.edge.get, self.step, self._ending, self.ending, self._apart.get, self.apart, self.size
+        path, last, nodes = b"", [-1], [0]  # the trie node we stand on; of each node above it the state and the vocabulary's node
+        lengths = self.lengths
+        for word in words:
             at, most = 0, min(len(path), len(word))
             if word[:most] == path[:most]:
                 at = most
             else:
                 while word[at] == path[at]:
                     at += 1
-            del last[at + 1 :]
-            for end in range(at + 1, len(word) + 1):
-                for begin in range(max(0, end - longest), end):
-                    t = ids.get(word[begin:end])
-                    if t is not None and (self.whole(t) if not begin else self.apart(last[begin], t)):
-                        last.append(t)
+            del last[at + 1 :], nodes[at + 1 :]
+            node, end = nodes[-1], at
+            for byte in word[at:]:
+                end += 1
+                to = edge(node << 8 | byte)
+                node = step(node, byte) if to is None else to
+                nodes.append(node)
+                for t, n in ending_of[node] or ending(node):
+                    if n == end:
+                        break
+                    u = last[end - n]
+                    ok = known(u * size + t)
+                    if ok or ok is None and apart(u, t):
                         break
+                last.append(t)
             path, end, tokens = word, len(word), []
             while end:
-                tokens.append(last[end])
-                end -= len(self.bytes[last[end]])
-            out[word] = np.array(tokens[::-1], "<u4").tobytes()
+                t = last[end]
+                tokens.append(t)
+                end -= lengths[t]
+            tokens.reverse()
+            out.append(array("I", tokens).tobytes())
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        import regex
-
-        if self._splitter is None:
-            special = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
-            self._splitter = regex.compile(PATTERN), regex.compile(f"({special})") if special else None
-        pattern, special = self._splitter
-        split = []
-        for chunk in chunks:
-            pieces = special.split(chunk) if special else [chunk]
-            split.append([x for k, p in enumerate(pieces) for x in ([p] if k % 2 else pattern.findall(p))])
-        own = self.special
-        got = self.walk(list({w.encode() for ws in split for w in ws if w not in own}))
-        name = lambda w: np.array([own[w]], "<u4").tobytes() if w in own else got[w.encode()]
-        return [b"".join(map(name, ws)) for ws in split]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of the split pattern."""
+        words = sorted({p.encode() for p in pieces if p not in self.special})
+        got = dict(zip(words, self.walk(words), strict=True))
+        return [array("I", [self.special[p]]).tobytes() if p in self.special else got[p.encode()] for p in pieces]
+
+    def decode(self, flat: np.ndarray, offs: np.ndarray) -> pa.Array:
+        """The texts of lists of ids: bytes of tokens side by side; what is not UTF-8 becomes U+FFFD."""
+        sizes, starts, data = self.table
+        flat = flat.astype(np.int64)
+        raw = _gather(data, starts, sizes, flat)
+        ends = np.r_[0, np.cumsum(sizes[flat])][offs]
+        inner = ends[:-1][ends[:-1] < len(raw)]
+        try:
+            raw.tobytes().decode()
+            split = bool(((raw[inner] & 0xC0) == 0x80).any())  # a text that begins inside a character
+        except UnicodeDecodeError:
+            split = True
+        if split:
+            whole = raw.tobytes()
+            return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)], pa.string())
+        return pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)).cast(pa.string())
 
 
 class LibraryBPE:
-    """The tokenizers library over many chunks at once; ids are cut by the byte lengths of their tokens."""
+    """The tokenizers library over many pieces at once.
+
+    Pieces that begin with a space go in joined texts, as one's end says nothing about the next;
+    their ids are told apart by the byte lengths of tokens.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -167,75 +251,153 @@ class LibraryBPE:
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
+        spec = json.load(open(path, encoding="utf-8"))
+        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        vocab = spec["model"]["vocab"]
+        self.sizes = np.zeros(1 + max([*vocab.values(), *self.special.values()]), np.int64)
+        for token, i in vocab.items():
+            self.sizes[i] = len(token)  # a character of the format stands for a byte
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        spaced = [i for i, p in enumerate(pieces) if p[0] == " " and not p.isspace() and p not in self.special]
+        out: list[bytes | None] = [None] * len(pieces)
+        if spaced:
+            own = [pieces[i] for i in spaced]
+            joined = self._encoded(["".join(own[i : i + 1000]) for i in range(0, len(own), 1000)])
+            flat = np.concatenate([np.array(x, "<u4") for x in joined])
+            ends = np.cumsum(pc.binary_length(pa.array(own, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = np.cumsum(self.sizes[flat])
+            last = np.minimum(np.searchsorted(at, ends), len(at) - 1)
+            if (at[last] == ends).all():  # else the file has steps that make pieces depend on each other
+                raw, stops = flat.tobytes(), (4 * (last + 1)).tolist()
+                for i, a, b in zip(spaced, [0, *stops], stops, strict=False):
+                    out[i] = raw[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._encoded([pieces[i] for i in rest]), strict=True):
+            out[i] = array("I", ids).tobytes()
+        return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        got = self.model.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
 
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs flat[starts[i] : starts[i] + sizes[i]] of all i of ``which``, side by side."""
+    n = sizes[which]
+    at = np.repeat(starts[which] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return flat[at]
 
-class Chunked:
-    """Ids of whole texts from cached ids of chunks.
 
-    A single space between two characters that are not white space always
-    begins a word of the split pattern, so a text may be cut before it.  Where
-    white space touches white space the text is left in one chunk there.
+#: White space beyond ASCII in UTF-8: two-byte and three-byte forms, fixed values of Unicode.
+_WIDE_2 = (0xC285, 0xC2A0)
+_WIDE_3 = (0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080)
+
+
+def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Starts of chunks: of texts, and single spaces between two characters that are not white space.
+
+    Such a space always begins a word of the split pattern, and nothing before it looks behind it.
     """
+    n = len(data)
+    padded = np.zeros(n + 6, np.uint8)
+    padded[3 : n + 3] = data
+    at = np.flatnonzero(data == 0x20) + 3
+    narrow = lambda x: ((x >= 9) & (x <= 13)) | ((x >= 0x1C) & (x <= 0x20))
+    byte = lambda k: padded[at + k].astype(np.int64)
+    bad = narrow(padded[at - 1]) | narrow(padded[at + 1])
+    odd = np.flatnonzero(~bad & ((padded[at - 1] >= 0x80) | (padded[at + 1] >= 0x80)))
+    at, whole = at[odd], at
+    bad[odd] = np.isin(byte(-2) << 8 | byte(-1), _WIDE_2) | np.isin(byte(1) << 8 | byte(2), _WIDE_2)
+    bad[odd] |= np.isin(byte(-3) << 16 | byte(-2) << 8 | byte(-1), _WIDE_3) | np.isin(byte(1) << 16 | byte(2) << 8 | byte(3), _WIDE_3)
+    mask = np.zeros(n + 1, bool)
+    mask[whole[~bad] - 3] = True
+    mask[np.maximum(offs[1:] - 1, 0)] = False  # a text's last byte
+    mask[offs[:-1]] = True
+    return np.flatnonzero(mask[:n])
+
+
+class Chunked:
+    """Ids of whole texts from cached ids of the pieces of their distinct chunks."""
 
     def __init__(self, encoder) -> None:
-        import re
+        import regex
 
         self.encoder, self.known, self.former = encoder, {}, {}
-        self._odd = re.compile(r"\s\s")
-        self._cut = re.compile(r"(?<=\S) (?=\S)")
-
-    def chunks(self, text: str) -> list[str]:
-        if self._odd.search(text) or text[:1] == " " or text[-1:] == " ":
-            cut = self._cut.split(text)
-        else:
-            cut = text.split(" ")
-        return [cut[0], *[f" {x}" for x in cut[1:]]] if text else []
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > MAX_CACHED // 2:  # what comes again is taken over from the former half
-            self.former, self.known = known, {}
-            known = self.known
-        split, former, new = [self.chunks(x) for x in texts], self.former, []
-        for c in {c for cs in split for c in cs if c not in known}:
-            if c in former:
-                known[c] = former[c]
-            else:
-                new.append(c)
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            known.update(zip(some, self.encoder.encode_chunks(some), strict=True))
-        return [b"".join([known[c] for c in cs]) for cs in split]
+        self._pattern = regex.compile(PATTERN)
+        special = "|".join(regex.escape(s) for s in sorted(encoder.special, key=len, reverse=True))
+        self._special = regex.compile(f"({special})") if special else None
+
+    def _split(self, text: str) -> list[str]:
+        if self._special is None or not self._special.search(text):
+            return self._pattern.findall(text)
+        return [x for k, p in enumerate(self._special.split(text)) for x in ([p] if k % 2 else self._pattern.findall(p))]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        if len(self.known) > MAX_CACHED // 2:  # what comes again is taken over from the former half
+            self.former, self.known = self.known, {}
+        known, former = self.known, self.former
+        out = [known.get(p) or former.get(p) for p in pieces]
+        new = [p for p, x in zip(pieces, out, strict=True) if x is None]
+        own = dict(zip(new, self.encoder.encode_pieces(new), strict=True)) if new else {}
+        out = [own[p] if x is None else x for p, x in zip(pieces, out, strict=True)]
+        known.update(own if len(own) <= MAX_CACHED // 2 else list(own.items())[: MAX_CACHED // 2])
+        return out
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive texts side by side, and each text's offset among them."""
+        starts = cuts(data, offs)
+        if not len(starts):
+            return np.empty(0, "<u4"), np.zeros(len(offs), np.int64)
+        ends = np.r_[starts, len(data)]
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        distinct, which = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        # chunks that begin with a space and do not end in white space may stand side by side
+        plain = np.array([c[0] == " " and not c[-1].isspace() for c in distinct])
+        places = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        n_plain = int(plain.sum())
+        pieces = self._split("".join([distinct[i] for i in places[:n_plain].tolist()]))
+        size = pc.binary_length(pa.array(distinct, pa.string())).to_numpy()[places[:n_plain]] if n_plain else np.empty(0, np.int64)
+        at = np.r_[0, np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy(zero_copy_only=False))].astype(np.int64)
+        first = np.searchsorted(at, np.r_[0, np.cumsum(size)].astype(np.int64))
+        more = []
+        for i in places[n_plain:].tolist():
+            own = self._split(distinct[i])
+            pieces += own
+            more.append(len(own))
+        first = np.r_[first, first[-1] + np.cumsum(more)].astype(np.int64)  # of each chunk, in order of places, its first piece
+        named = pa.array(pieces, pa.string()).dictionary_encode()
+        blobs = self._ids(named.dictionary.to_pylist())
+        flat, n = np.frombuffer(b"".join(blobs), "<u4"), np.array([len(b) // 4 for b in blobs], np.int64)
+        index = named.indices.to_numpy()
+        flat = _gather(flat, np.cumsum(n) - n, n, index)  # ids of the distinct chunks in order of places
+        before = np.r_[0, np.cumsum(n[index])]
+        order = np.empty(len(places), np.int64)
+        order[places] = np.arange(len(places))
+        which = order[which]
+        sizes = before[first[1:]] - before[first[:-1]]
+        ids = _gather(flat, before[first[:-1]], sizes, which)
+        total = np.r_[0, np.cumsum(sizes[which])]
+        return ids, total[np.searchsorted(starts, offs)]
 
 
 _loaded: dict[tuple[str, str], object] = {}
 
 
 def loaded(kind: str, path: str):
-    """One encoder a Python worker; kept between tasks."""
+    """One encoder a Python worker; kept between tasks.  Encoder and decoder share their tables."""
     if (kind, path) not in _loaded:
-        _loaded[kind, path] = TrieBPE(path) if kind == "tables" else Chunked(LibraryBPE(path) if kind == "library" else TrieBPE(path))
+        _loaded[kind, path] = TrieBPE(path) if kind == "tables" else Chunked(LibraryBPE(path) if kind == "library" else loaded("tables", path))
     return _loaded[kind, path]
 
 
-def _ids_array(blobs: list[bytes]) -> pa.Array:
-    flat = np.frombuffer(b"".join(blobs), "<i4")
-    offs = np.cumsum([0, *[len(b) // 4 for b in blobs]])
-    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32()))
-
-
-def text_slices(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Batches in slices of about ``most`` bytes of text, with their texts (null: empty)."""
+def text_slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches in slices of about ``most`` bytes of text, with their bytes and offsets (null: empty)."""
     from . import words
 
     for b in batches:
-        for at, to, _, _ in words.parts(b.column(name), most):
-            piece = b.slice(at, to - at)
-            yield piece, [x or "" for x in piece.column(name).to_pylist()]
+        for at, to, data, offs in words.parts(b.column(name), most):
+            yield b.slice(at, to - at), data, offs
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -243,8 +405,10 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded("trie", tokenizer)
-        for piece, texts in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _ids_array(own.encode(texts))], names=["doc_id", "ids"])
+        for piece, data, offs in text_slices(batches, "text"):
+            ids, at = own.encode(data, offs)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -255,13 +419,14 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = loaded("tables", tokenizer)
         for whole in batches:
-            for at in range(0, max(1, whole.num_rows), 1000):
-                b = whole.slice(at, 1000)
+            ends, at = whole.column("ids").offsets.to_numpy(), 0
+            while at < whole.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE // 4, side="right")) - 1)
+                b = whole.slice(at, min(to, whole.num_rows) - at)
+                at += b.num_rows
                 lists = b.column("ids")
                 flat, offs = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-                offs = offs - offs[0]
-                texts = [tables.decode(flat[i:j]).decode("utf-8", "replace") for i, j in zip(offs, offs[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, tables.decode(flat, offs - offs[0])], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 

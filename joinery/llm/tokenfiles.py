@@ -10,8 +10,8 @@ block's offset) and of escapes; the words; the escapes (place, value).  All litt
 Blocks are packed and unpacked side by side, one numpy step for all blocks.
 
 Documents are ordered by doc_id (null first; rows that share one by a hash of the text)
-over range partitions, one file each, written under an attempt's own name and then
-moved: a lost executor's attempt leaves no file that is read.
+over range partitions; each writes files of up to ``MAX_IDS`` ids under names of its own attempt.
+Only files that a finished task reports are read, so what a lost or doubled attempt left is never seen.
 
 Defined results: null text is empty; an empty text has the end id alone; an
 empty table gives no rows; other columns are ignored.
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe, common
@@ -171,25 +171,25 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
     folder = local_uri(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, seq = bpe.loaded("library", tokenizer), TaskContext.get().partitionId(), 0
-        names, blobs, held = [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
+        own, context, seq = bpe.loaded("library", tokenizer), TaskContext.get(), 0
+        part, attempt = context.partitionId(), context.taskAttemptId()
+        names, sizes, parts, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal names, blobs, held, seq
+            nonlocal names, sizes, parts, held, seq
             if names:
-                nulls = np.array([x is None for x in names])
-                sizes = np.array([len(b) // 4 for b in blobs])
-                content = to_file(np.array([x or 0 for x in names], np.int64), nulls, sizes, np.frombuffer(b"".join(blobs), "<u4"))
-                path = put(folder, f"part-{part:06d}-{seq:04d}.s8b", content)
-                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (part, seq, path, len(names), int(sizes.sum()))], names=["part", "seq", "path", "n_docs", "n_ids"])
-                names, blobs, held, seq = [], [], 0, seq + 1
-
-        for piece, texts in bpe.text_slices(batches, "text"):
+                nulls, n = np.array([x is None for x in names]), np.concatenate(sizes)
+                content = to_file(np.array([x or 0 for x in names], np.int64), nulls, n, np.concatenate(parts))
+                path = put(folder, f"part-{part:06d}-{seq:04d}-{attempt}.s8b", content)
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (part, seq, path, len(names), int(n.sum()))], names=["part", "seq", "path", "n_docs", "n_ids"])
+                names, sizes, parts, held, seq = [], [], [], 0, seq + 1
+
+        for piece, data, offs in bpe.text_slices(batches, "text"):
+            ids, at = own.encode(data, offs)
             names += piece.column("doc_id").to_pylist()
-            got = [b + end for b in own.encode(texts)]
-            blobs += got
-            held += sum(map(len, got)) // 4
+            sizes.append(np.diff(at) + 1)
+            parts.append(np.insert(ids, at[1:], end_id).astype("<u4"))
+            held += len(parts[-1])
             if held >= MAX_IDS:
                 yield from flush()
         yield from flush()
@@ -226,14 +226,18 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """The files (one row a file, of up to 10 million ids: few) in order, each with the ids before it."""
-    spark, first, out = files.sparkSession, 0, []
-    for f in sorted(files.collect(), key=lambda f: (f.part, f.seq)):
-        out.append((f.path, first))
-        first += f.n_ids
-    return spark.createDataFrame(out, "path string, first long").repartition(max(1, len(out)))
+    """path and first (the ids before it) of every file, in as many partitions as were written.
+
+    Sums go part by part (a row a partition, in one window), then file by file within a part; nothing is collected.
+    """
+    total = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = total.select("part", before(Window.orderBy("part"), "n").alias("base"))
+    placed = files.join(bases, "part").withColumn("own", before(Window.partitionBy("part").orderBy("seq"), "n_ids"))
+    return placed.select("path", (F.col("base") + F.col("own")).alias("first")).repartition(common.shuffle_parts(files.sparkSession), "path")
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    files = manifest(write(docs, tokenizer, common.scratch(docs.sparkSession, "tokens")))
-    return read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    spark = docs.sparkSession
+    files = common.materialise(write(docs, tokenizer, common.scratch(spark, "tokens")), "files")
+    return read(manifest(files)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
