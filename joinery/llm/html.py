@@ -8,10 +8,10 @@ a node of no main text all have none, and below one of only main text all have
 only that: an ancestor and a descendant never contradict each other.
 
 The models are trained here, on ``TRAIN_PAGES`` pages (the documented bound) that
-``training_page`` writes from a seed, whose main blocks are known.
+``training_page`` writes from a seed, whose main blocks are known.  A page is read in one pass, in time proportional to its length.
 
 Defined results: null or empty html gives an empty text, and so does a page without main
-text; unclosed elements end with their parents; pages are read one by one, so repeated rows
+text; unclosed elements end with their parents; a tag that the page ends in is left out; pages are read one by one, so repeated rows
 agree; other columns are ignored.  White space and ``br`` inside a block are one space.
 """
 
@@ -37,12 +37,19 @@ RAW = frozenset("script style noscript template iframe title textarea svg math".
 SILENT = frozenset("script style noscript template iframe title svg math head".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 CLOSES_P = BLOCK - frozenset("body head html option td th tr tbody thead tfoot button select legend summary title template".split())
+#: Start tags that end an open element: of which names, and within which containers they do not look out.
+_ENDS = {"li": (("li",), ("ul", "ol", "menu")), "option": (("option",), ("select",)), "tr": (("tr",), ("table",))}
+_ENDS |= {x: (("dd", "dt"), ("dl",)) for x in ("dd", "dt")} | {x: (("td", "th"), ("table",)) for x in ("td", "th")}
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "td", "nav", "header", "footer", "aside", "form", "figure", "blockquote", "pre", "body", "html", "#text", "button", "label", "figcaption", "dl", "dd")
 GOOD_TOKENS = frozenset("article body content entry main post story text hentry page prose blog news copy".split())
 BAD_TOKENS = frozenset("ad ads advert advertisement adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer discussion disqus dropdown footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related replies reply respond search share sharing shoutbox sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget alert".split())
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Comments (``<!-->`` and ``<!--->`` are whole), declarations, end tags without a name, and the names of tags.
+_tag = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: Attributes up to the end of the tag, without backtracking; a quote counts only after =, and one that is not closed reaches to the end of the page.
+_attributes = re.compile(r"""(?:[^>=]+|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+""")
 _named = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _token = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_long_number = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 
 
 class Page:
@@ -62,15 +69,28 @@ class Page:
         return len(self.parent) - 1
 
 
+def plain(text: str) -> str:
+    """Character references decoded (numbers beyond Unicode: U+FFFD), white space as single spaces, trimmed."""
+
+    def short(m: re.Match) -> str:
+        body = m[0].rstrip(";")[2:]
+        digits = body.lstrip("xX").lstrip("0")
+        return "\ufffd" if len(digits) > 7 else f"&#{'x' if body[0] in 'xX' else ''}{digits or '0'};"
+
+    return " ".join(entities.unescape(_long_number.sub(short, text)).split())
+
+
 def parse(source: str) -> Page:
+    """The page's nodes in one pass: every character is read once, and open elements are found by name."""
     page, stack, pieces = Page(), [0], []
     links, linked, at, silent, end = 0, 0, 0, 0, len(source)
     tag_of = page.tag
+    places: dict[str, list[int]] = {}  # of every open name its places in the stack
 
     def flush() -> None:
         nonlocal pieces, linked
         if pieces:
-            text = " ".join(entities.unescape("".join(pieces)).split())
+            text = plain("".join(pieces))
             if text:
                 page.runs.append((stack[-1], text, linked))
             pieces, linked = [], 0
@@ -81,15 +101,14 @@ def parse(source: str) -> Page:
         flush()
         for node in stack[to:]:
             silent -= tag_of[node] in SILENT
+            if node:
+                places[tag_of[node]].pop()
         del stack[to:]
 
-    def open_place(names: tuple[str, ...], stop: frozenset = frozenset()) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if tag_of[stack[i]] in names:
-                return i
-            if tag_of[stack[i]] in stop:
-                return 0
-        return 0
+    def open_place(names: tuple[str, ...], stop: tuple[str, ...] = ()) -> int:
+        """The place of the innermost open element of these names; 0 if there is none, or one of ``stop`` lies within."""
+        inner = max([places[x][-1] for x in names if places.get(x)], default=0)
+        return inner if inner and all(not places.get(x) or places[x][-1] < inner for x in stop) else 0
 
     while at < end:
         m = _tag.search(source, at)
@@ -104,6 +123,10 @@ def parse(source: str) -> Page:
         if name is None:
             continue
         name = name.lower()
+        rest = _attributes.match(source, at)
+        attrs, at = rest[0], rest.end() + 1
+        if at > end:  # the page ends within the tag
+            break
         if m[1]:
             if name == "a":
                 links = max(0, links - 1)
@@ -118,11 +141,11 @@ def parse(source: str) -> Page:
         if name in VOID and name != "hr":
             continue
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
             if name not in SILENT and not silent:  # a textarea's text
                 flush()
-                node = page.add(stack[-1], name, m[3])
-                text = " ".join(entities.unescape(source[at : stop.start() if stop else end]).split())
+                node = page.add(stack[-1], name, attrs)
+                text = plain(source[at : stop.start() if stop else end])
                 if text:
                     page.runs.append((node, text, 0))
             at = stop.end() if stop else end
@@ -132,16 +155,17 @@ def parse(source: str) -> Page:
             continue
         if name not in BLOCK:
             continue
-        if name in CLOSES_P and (i := open_place(("p",), frozenset(("button", "td", "th")))):
+        if name in CLOSES_P and (i := open_place(("p",), ("button", "td", "th"))):
             close(i)
-        if name == "li" and (i := open_place(("li",), frozenset(("ul", "ol", "menu")))) or name in ("dd", "dt") and (i := open_place(("dd", "dt"), frozenset(("dl",)))) or name == "option" and (i := open_place(("option",), frozenset(("select",)))) or name in ("td", "th") and (i := open_place(("td", "th"), frozenset(("table",)))) or name == "tr" and (i := open_place(("tr",), frozenset(("table",)))):
+        if name in _ENDS and (i := open_place(*_ENDS[name])):
             close(i)
         flush()
         if name == "html" or name == "hr":
             continue
         if name == "body" and (i := open_place(("head",))):
             close(i)
-        stack.append(page.add(stack[-1], name, m[3]))
+        places.setdefault(name, []).append(len(stack))
+        stack.append(page.add(stack[-1], name, attrs))
         silent += name in SILENT
     close(0) if len(stack) > 1 else flush()
     return page
