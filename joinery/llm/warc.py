@@ -9,7 +9,8 @@ block by Content-Length, and verifies the digests: the block's, and a response's
 
 Defined results: null html is an empty payload; empty payloads are equal to
 each other; a null page_id comes after all others; rows equal in page_id, url
-and payload are all responses if the first is; other columns are ignored.
+and payload are all responses if the first is; an empty table gives no archives and no rows; a payload may
+be as long as a value can be (it is held once, with its compressed form); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,14 +107,15 @@ def with_first(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
-    """Write archives. Returns one row an archive: path and n_records."""
+    """Write archives under names of the attempt's own. Returns one row an archive: path and n_records; other files in the folder are of lost attempts."""
     folder = local_uri(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, out, n = TaskContext.get().partitionId(), 0, [], 0
+        context, seq, out, n = TaskContext.get(), 0, [], 0
+        part, attempt = context.partitionId(), context.taskAttemptId()
 
         def flush() -> pa.RecordBatch:
-            path = put(folder, f"part-{part:06d}-{seq:04d}.warc.gz", b"".join(out))
+            path = put(folder, f"part-{part:06d}-{seq:04d}-{attempt}.warc.gz", b"".join(out))
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(out)])], names=["path", "n_records"])
 
         for b in batches:
@@ -129,7 +131,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if out:
             yield flush()
 
-    return with_first(pages).mapInArrow(run, "path string, n_records long")
+    return with_first(pages).sortWithinPartitions("page_id").mapInArrow(run, "path string, n_records long")
 
 
 def read(archives: DataFrame, payload: bool = True) -> DataFrame:
@@ -165,7 +167,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def digests(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
-    # one row an archive of up to 32 MB: the list is small
-    paths = [(r.path,) for r in write(pages, common.scratch(spark, "warc")).select("path").collect()]
-    archives = spark.createDataFrame(paths, "path string").repartition(max(1, len(paths)))
+    # what finished attempts wrote, as a table: nothing is collected, and a recomputed read finds the same archives
+    archives = common.materialise(write(pages, common.scratch(spark, "warc")), "archives")
+    archives = archives.repartition(common.shuffle_parts(spark), "path")
     return read(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
