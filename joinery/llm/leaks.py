@@ -7,71 +7,74 @@ the last ``window`` words are a window of an item, and the state's ancestor of t
 depth names the items.  Items shorter than a window count as one window.
 
 Before streaming, a screen over whole batches drops what cannot match: words, or
-neighbouring word pairs, that no item has.  It loses nothing.
+neighbouring word pairs, that no item has, by hash.  It loses nothing, and what
+remains is matched by the words themselves.
 
-The automaton goes to every task, so the benchmark is taken in blocks of at
-most ``block_words`` words (about 100 bytes each), one pass over the documents a block.
+Nothing of the benchmark comes to the driver or is broadcast.  Its items are cut into segments of at
+most ``SEGMENT`` words that overlap by a window less one (so every window is in a segment), equal
+segments are taken once, and segments are dealt by hash into blocks of about ``block_words`` words.
+An executor builds each block's automaton and writes it to the shared folder; tasks read the blocks
+one at a time (about 60 MB for 200,000 words), over at most ``HELD`` bytes of text.
 
 Defined results: null or empty texts and items have no words; an item without
 item_id counts under the id ''; equal items count each; a repeated item_id
 counts once; documents are judged row by row, so ties and repeated rows get
-equal results; other columns are ignored.
+equal results; an empty benchmark hits nothing, and an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import words as w
+from .tokenfiles import file_system, local_uri, put
 
-WINDOW, BLOCK_WORDS = 10, 2_000_000
+WINDOW, BLOCK_WORDS, SEGMENT, HELD = 10, 200_000, 20_000, 64 << 20
 #: A document over this share of hit words goes; of others the spans go.
 MAX_COVERAGE = 0.8
 _TABLE = 1 << 20
 
 
 class Automaton:
-    """States are classes of word runs with equal ends: next, link and longest length, and the items by depth."""
+    """States are classes of word runs with equal ends: next, link and longest length; then the items of runs of a window's length."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int) -> None:
+    def __init__(self, items: list[list[int]], window: int) -> None:
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.long = [-1], [0]
-        paths = []
-        for name, own in items:
-            at, path = 0, []
+        self.link, self.long, self.window = [-1], [0], window
+        for own in items:
+            at = 0
             for word in own:
                 at = self._add(at, word)
-                path.append(at)
-            paths.append((name, path))
         n = len(self.link)
-        by_items: list[set[str]] = [set() for _ in range(n)]
-        whole: list[set[tuple[int, str]]] = [set() for _ in range(n)]
-        for name, own in items:
+        order = sorted(range(n), key=self.long.__getitem__)
+        self.deep = [-1] * n  # the state's ancestor, or itself, that holds its run of a window's length
+        for v in order[1:]:
+            up = self.deep[self.link[v]]
+            self.deep[v] = up if up >= 0 else (v if self.long[v] >= window else -1)
+        self.items: dict[int, set[int]] = {}
+        whole: dict[int, set[tuple[int, int]]] = {}
+        for i, own in enumerate(items):
             at = 0
-            for word in own:  # the item's prefixes, now that no state will be split
+            for word in own:  # the item's prefixes, now that no state will be split: one entry a place at most
                 at = self.next[at][word]
-                up = at
-                while up > 0 and name not in by_items[up]:
-                    by_items[up].add(name)
-                    up = self.link[up]
+                if self.deep[at] >= 0:
+                    self.items.setdefault(self.deep[at], set()).add(i)
             if 0 < len(own) < window:
-                whole[at].add((len(own), name))
-        self.deep: list[int] = []
-        self.short: list[tuple[tuple[int, str], ...]] = []
-        order = sorted(range(n), key=self.long.__getitem__)
-        deep, short = [-1] * n, [()] * n
-        for v in order:
-            up = self.link[v]
-            if up >= 0:
-                deep[v] = deep[up] if deep[up] >= 0 else (v if self.long[v] >= window else -1)
-                short[v] = short[up] + tuple(whole[v])
-        self.deep, self.short, self.window = deep, short, window
-        self.items = by_items
+                whole.setdefault(at, set()).add((len(own), i))
+        self.short: dict[int, tuple[tuple[int, int], ...]] = {}
+        if whole:
+            for v in order[1:]:
+                if got := self.short.get(self.link[v], ()) + tuple(whole.get(v, ())):
+                    self.short[v] = got
 
     def _add(self, last: int, word: int) -> int:
         """The state of the run that ends with ``word``, after the run of ``last``."""
@@ -107,7 +110,7 @@ class Automaton:
             at = self.link[at]
         return new
 
-    def stream(self, tokens: list[int], hit: np.ndarray, found: set[str]) -> None:
+    def stream(self, tokens: list[int], hit: np.ndarray, found: set[int]) -> None:
         """Marks words of matches in ``hit`` and adds their items to ``found``."""
         state = length = 0
         nexts, links, longs, deep, short, window = self.next, self.link, self.long, self.deep, self.short, self.window
@@ -122,23 +125,24 @@ class Automaton:
             if length >= window:
                 hit[i + 1 - window : i + 1] = True
                 found |= self.items[deep[state]]
-            for n, name in short[state]:
-                if n <= length:
-                    hit[i + 1 - n : i + 1] = True
-                    found.add(name)
+            if short:
+                for n, item in short.get(state, ()):
+                    if n <= length:
+                        hit[i + 1 - n : i + 1] = True
+                        found.add(item)
 
 
-class Screen:
-    """The automaton with what is needed to leave out words that match nothing."""
+class Block:
+    """An automaton of segments, the item ids of each, and what is needed to leave out words that match nothing."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        texts = pa.array([t or "" for _, t in items], pa.string())
-        data, offs = w.text_bytes(texts)
+    def __init__(self, segments: list[str], names: list[list[str]], window: int) -> None:
+        data, offs = w.text_bytes(pa.array(segments, pa.string()))
         got = w.words(data, offs, w.PLAIN, True)
-        self.vocabulary, ids = np.unique(got.hashes, return_inverse=True)
-        own = [ids[a:b].tolist() for a, b in zip(got.first, got.first[1:], strict=False)]
-        self.automaton = Automaton([(str(n) if n is not None else "", x) for (n, _), x in zip(items, own, strict=True) if x], window)
-        self.least = min([min(window, len(x)) for x in own if x], default=0)
+        own = [s.encode().split() for s in segments]
+        self.ids: dict[bytes, int] = {}
+        self.automaton = Automaton([[self.ids.setdefault(x, len(self.ids)) for x in ws] for ws in own], window)
+        self.names = names
+        self.least = min([min(window, len(x)) for x in own], default=0)
         self.words, self.pairs = np.zeros(_TABLE, bool), np.zeros(_TABLE, bool)
         self.words[self._slot(got.hashes)] = True
         self.pairs[self._slot(got.runs(2)[1])] = True
@@ -147,11 +151,10 @@ class Screen:
     def _slot(h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(44)).astype(np.int64)
 
-    def hits(self, text: w.Words) -> tuple[np.ndarray, dict[int, set[str]]]:
-        """For every word whether it is hit; items by text."""
-        hit, items = np.zeros(len(text.hashes), bool), {}
+    def mark(self, data: np.ndarray, text: w.Words, hit: np.ndarray, items: dict[int, set[str]]) -> None:
+        """Marks hit words, and adds items by text."""
         if not self.least or not len(hit):
-            return hit, items
+            return
         in_item = self.words[self._slot(text.hashes)]
         at, h = text.runs(2)
         joined = np.zeros(len(hit), bool)  # to the next word
@@ -164,72 +167,120 @@ class Screen:
         long = stop - begin >= self.least
         begin, stop = begin[long], stop[long]
         of = np.searchsorted(text.first, begin, side="right") - 1
+        known, names = self.ids.get, self.names
         for a, b, t in zip(begin.tolist(), stop.tolist(), of.tolist(), strict=True):
-            own = text.hashes[a:b]
-            ids = np.searchsorted(self.vocabulary, own)
-            ids[ids == len(self.vocabulary)] = 0
-            ids[self.vocabulary[ids] != own] = -1
-            self.automaton.stream(ids.tolist(), hit[a:b], items.setdefault(t, set()))
-        return hit, items
-
-
-def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple]]:
-    block, words = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len((row.text or "").split()) + 1
-        if block and words + n > most:
-            yield block
-            block, words = [], 0
-        block.append((row.item_id, row.text))
-        words += n
-    yield block
+            base = int(text.starts[a])
+            raw = data[base : text.ends[b - 1]].tobytes().lower()  # of bytes: A-Z only
+            own = [known(raw[x - base : y - base], -1) for x, y in zip(text.starts[a:b].tolist(), text.ends[a:b].tolist(), strict=True)]
+            found: set[int] = set()
+            self.automaton.stream(own, hit[a:b], found)
+            if found:
+                items.setdefault(t, set()).update(*(names[i] for i in found))
+
+
+def blocks(benchmark: DataFrame, window: int, block_words: int) -> list[str]:
+    """Paths of the blocks' files: as many as the benchmark has words for."""
+    spark = benchmark.sparkSession
+    folder = local_uri(common.scratch(spark, "automata"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo, hi, data, offs in w.parts(whole.column("text")):
+                text, raw = w.words(data, offs, w.PLAIN, True), data.tobytes().lower()
+                names, out, sizes = [], [], []
+                ids = whole.column("item").slice(lo, hi - lo).to_pylist()
+                for i, (a, z) in enumerate(zip(text.first.tolist(), text.first[1:].tolist(), strict=False)):
+                    for at in range(a, max(z - window + 1, a + 1) if z > a else a, SEGMENT):
+                        to = min(z, at + SEGMENT + window - 1)
+                        out.append(b" ".join([raw[x:y] for x, y in zip(text.starts[at:to].tolist(), text.ends[at:to].tolist(), strict=True)]))
+                        names.append(ids[i])
+                        sizes.append(to - at)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64())], names=["item", "words", "n"])
+
+    own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").mapInArrow(cut, "item string, words string, n long")
+    segments = common.materialise(own.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"), F.min("n").alias("n")), "segments")
+    n_blocks = -(-(segments.agg(F.sum("n")).first()[0] or 0) // block_words)
+    if not n_blocks:
+        return []
+
+    def build(some: pa.Table) -> pa.Table:
+        some = some.take(pc.sort_indices(some, [("words", "ascending")]))
+        block = Block(some.column("words").to_pylist(), some.column("items").to_pylist(), window)
+        path = put(folder, f"block-{uuid.uuid4().hex}", pickle.dumps(block, pickle.HIGHEST_PROTOCOL))
+        return pa.table([pa.array([path])], names=["path"])
+
+    dealt = segments.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(n_blocks)))
+    built = common.materialise(dealt.groupBy("block").applyInArrow(build, "path string"), "blocks")
+    return sorted(r.path for r in built.collect())  # a row a block
+
+
+_read: dict[str, Block] = {}
+
+
+def _block(path: str) -> Block:
+    """A block's file; a worker keeps the last one."""
+    if path not in _read:
+        _read.clear()
+        fs, at = file_system(path)
+        with fs.open_input_stream(at, compression=None) as stream:
+            _read[path] = pickle.loads(stream.read())
+    return _read[path]
+
+
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]]:
+    """Slices of batches with their texts' bytes and offsets, in groups of about ``most`` bytes."""
+    held, size = [], 0
+    for whole in batches:
+        for lo, hi, data, offs in w.parts(whole.column("text")):
+            held.append((whole.slice(lo, hi - lo), data, offs))
+            size += len(data)
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
+def _spans(hit: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Runs of hit words of every text, counted from its first word."""
+    n = len(hit)
+    inner = first[(first > 0) & (first < n)]
+    begin, stop = hit.copy(), hit.copy()
+    begin[1:] &= ~hit[:-1]
+    begin[inner] = hit[inner]
+    stop[:-1] &= ~hit[1:]
+    stop[inner - 1] = hit[inner - 1]
+    begin, stop = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    base = first[np.searchsorted(first, begin, side="right") - 1]
+    spans = pa.StructArray.from_arrays([pa.array(begin - base, pa.int32()), pa.array(stop - base, pa.int32())], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, first), pa.int32()), spans)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, columns to carry, n_words, items (array of item ids), spans of hit words (from, to) of every document."""
-    sc, kept = docs.sparkSession.sparkContext, ["doc_id", "text", *carry]
+    kept = ["doc_id", "text", *carry]
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    schema = f"{own}, n_words long, items array<string>, spans array<struct<start:int,end:int>>"
-    out = docs.select(*kept, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<string>)").alias("items"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
-
-    def step(frame: DataFrame, block: list[tuple]) -> DataFrame:
-        shared = sc.broadcast(Screen(block, window))  # at most block_words words
+    paths = blocks(benchmark, window, block_words)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            screen = shared.value
-            for whole in batches:
-                for lo, hi, data, offs in w.parts(whole.column("text")):
-                    b = whole.slice(lo, hi - lo)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _held(batches, HELD if len(paths) > 1 else 1):
+            firsts, hits, items = [], [], [{} for _ in group]
+            for k, path in enumerate(paths or [None]):
+                for i, (_, data, offs) in enumerate(group):
                     text = w.words(data, offs, w.PLAIN, True)
-                    hit, items = screen.hits(text)
-                    before = b.column("items").to_pylist(), b.column("spans").to_pylist()
-                    names, spans = [], []
-                    any_hit = np.logical_or.reduceat(np.r_[hit, False], np.minimum(text.first[:-1], len(hit))) if len(text.first) > 1 else []
-                    for i, (a, z) in enumerate(zip(text.first.tolist(), text.first[1:].tolist(), strict=False)):
-                        old_items, old_spans = before[0][i], before[1][i]
-                        if a == z or not any_hit[i]:
-                            names.append(old_items)
-                            spans.append(old_spans)
-                            continue
-                        own = hit[a:z].copy()
-                        for s in old_spans:
-                            own[s["start"] : s["end"]] = True
-                        edge = np.flatnonzero(np.diff(np.r_[False, own, False])).reshape(-1, 2)
-                        spans.append([{"start": int(x), "end": int(y)} for x, y in edge])
-                        names.append(sorted(items.get(i, set()) | set(old_items)))
-                    yield pa.RecordBatch.from_arrays(
-                        [*map(b.column, kept), pa.array(np.diff(text.first), pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, _SPANS)],
-                        names=[*kept, "n_words", "items", "spans"],
-                    )
-
-        return frame.mapInArrow(run, schema)
-
-    for block in _blocks(benchmark, block_words):
-        out = step(out, block)
-    return out
+                    if not k:
+                        firsts.append(text.first)
+                        hits.append(np.zeros(len(text.hashes), bool))
+                    if path:
+                        _block(path).mark(data, text, hits[i], items[i])
+            for (b, _, _), first, hit, found in zip(group, firsts, hits, items, strict=True):
+                names = pa.array([sorted(found.get(i, ())) for i in range(b.num_rows)], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(np.diff(first), pa.int64()), names, _spans(hit, first)], names=[*kept, "n_words", "items", "spans"])
+
+    return docs.select(*kept).mapInArrow(run, f"{own}, n_words long, items array<string>, spans array<struct<start:int,end:int>>")
 
 
 def _n_hit():
