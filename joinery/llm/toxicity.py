@@ -9,14 +9,18 @@ Features are hashed words and word beginnings of 3 to 7 bytes (so inflected form
 weight), as log(1 + count).  ``labels`` says toxic or not; a toxic document's
 training grade is 1 to 3 by thirds of its share of words that only toxic documents have.
 
-The model is fitted on at most ``max_train`` labelled documents a class, those of the
-smallest hash of doc_id; of their features, at most ``max_features`` are kept, those
-whose class counts differ most.  Everything else covers all documents.
+The severity of training documents is thus told by words that the model reads too: the grades above 0
+order toxic documents by how much of their text is such words, and claim no more.
+
+The model is fitted on at most ``max_train`` labelled documents a class (the documented bound), those of the
+smallest hash of doc_id.  Features whose class counts differ by more than ``MIN_GAP`` standard errors are
+kept; they are counted and chosen in Spark, and only kept ones of the sampled documents come to the driver:
+each document a list no longer than the fixed number of slots, however long its text.  Everything else covers all documents.
 
 Defined results: null and empty texts have no features; without labels of both
 classes all documents get severity 0; rows are judged one by one, so
 repeated rows agree; a doc_id labelled twice is toxic if either label is; null
-labels do not count; other columns are ignored.
+labels do not count; other columns are ignored, or kept by ``score``, which replaces those named like its own.
 """
 
 from __future__ import annotations
@@ -29,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from . import words as w
 
-MAX_TRAIN, MAX_FEATURES, GRADES, TOXIC_OVER = 3000, 4096, 4, 0.8
+MAX_TRAIN, MIN_GAP, GRADES, TOXIC_OVER = 3000, 3.0, 4, 0.8
 _SLOTS, _BEGIN = 1 << 20, (3, 4, 5, 6, 7)
 
 
@@ -82,54 +87,66 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_gap: float = MIN_GAP) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo, hi, data, offs in w.parts(whole.column("text")):
                 rows, which, slots, text = features(data, offs)
-                order = np.argsort(rows, kind="stable")
-                cut = np.searchsorted(rows[order], np.arange(hi - lo + 1))
-                pack = lambda x: [x[order][a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]  # noqa: B023, E731
-                first = text.first[rows]
+                key, n = np.unique(rows << 20 | slots, return_counts=True)
+                cut = np.searchsorted(key, np.arange(hi - lo + 1) << 20)
+                slot = (key & (_SLOTS - 1)).astype("<u4")
+                pack = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())  # noqa: B023, E731
+                order = np.lexsort((which, rows << 20 | slots))
                 yield pa.RecordBatch.from_arrays(
-                    [whole.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), whole.column("_toxic").slice(lo, hi - lo).cast(pa.int32()), pa.array(pack(slots)), pa.array(pack(which - first)), pa.array(np.diff(text.first), pa.int64())],
-                    names=["doc_id", "toxic", "slots", "words", "n"],
-                )
+                    [
+                        whole.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), whole.column("_toxic").slice(lo, hi - lo).cast(pa.int32()), pa.array(np.diff(text.first), pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(slot.view("<i4"))), pack(n, "<u4"), _places(which[order] - text.first[rows[order]], np.r_[0, np.cumsum(n)][cut]),
+                    ],
+                    names=["doc_id", "toxic", "n", "slots", "counts", "places"],
+                )
 
-    got = _sample(docs, labels, max_train).mapInArrow(run, "doc_id long, toxic int, slots binary, words binary, n long").collect()
     nothing = Model(np.empty(0, np.int64), np.empty(0), np.full(GRADES - 1, 40.0))
-    got = sorted(got, key=lambda r: (r.doc_id, r.n, r.slots))  # the same model whatever order rows come in
-    toxic = np.array([int(r.toxic > 0) for r in got], int)
-    if len(set(toxic.tolist())) < 2:
+    own = _sample(docs, labels, max_train).mapInArrow(run, "doc_id long, toxic int, n long, slots array<int>, counts binary, places binary")
+    own = common.materialise(own, "sample")
+    size = {int(r.t): r.c for r in own.groupBy((F.col("toxic") > 0).cast("int").alias("t")).agg(F.count("*").alias("c")).collect()}
+    if len(size) < 2:
         return nothing
-    n_words = np.array([max(r.n, 1) for r in got])
-    slots = [np.frombuffer(r.slots, "<u4").astype(np.int64) for r in got]
-    which = [np.frombuffer(r.words, "<u4") for r in got]
-    df = np.zeros((2, _SLOTS))
-    for t, s in zip(toxic, slots, strict=True):
-        df[t, np.unique(s)] += 1
-    size = np.bincount(toxic, minlength=2)
-    p = df.sum(0) / size.sum()
-    gap = np.abs(df[1] / size[1] - df[0] / size[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / size[0] + 1 / size[1]))
-    gap[df.sum(0) < 3] = 0
-    kept = np.sort(np.argsort(-gap, kind="stable")[:max_features])
-    kept = kept[gap[kept] > 3]
-    if not len(kept):
+    bad = F.col("toxic") > 0
+    df = own.select(F.explode("slots").alias("slot"), bad.alias("bad")).groupBy("slot").agg(F.count_if("bad").alias("d1"), F.count_if(~F.col("bad")).alias("d0"))
+    p = (F.col("d0") + F.col("d1")) / (size[0] + size[1])
+    gap = F.abs(F.col("d1") / size[1] - F.col("d0") / size[0]) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / size[0] + 1 / size[1]))
+    chosen = df.filter((F.col("d0") + F.col("d1") >= 3) & (gap > min_gap)).orderBy("slot").collect()  # at most _SLOTS rows
+    if not chosen:
         return nothing
-    telling = np.zeros(_SLOTS, bool)
-    telling[kept] = df[0, kept] <= 0.02 * df[1, kept]
-    share = np.array([len(np.unique(x[telling[s]])) / n for s, x, n in zip(slots, which, n_words, strict=True)])
-    cuts = np.quantile(share[toxic == 1], [1 / 3, 2 / 3])
-    grade = np.where(toxic == 1, 1 + np.searchsorted(cuts, share, side="left"), 0)
-    index = np.full(_SLOTS, -1)
+    kept = np.array([r.slot for r in chosen], np.int64)
+    index = np.full(_SLOTS, -1, np.int32)
     index[kept] = np.arange(len(kept))
-    row, col, val = [], [], []
-    for i, s in enumerate(slots):
-        f, n = np.unique(index[s][index[s] >= 0], return_counts=True)
-        row.append(np.full(len(f), i))
-        col.append(f)
-        val.append(np.log1p(n))
-    return _fit(np.concatenate(row), np.concatenate(col), np.concatenate(val), grade, kept)
+    telling = np.array([r.d0 <= 0.02 * r.d1 for r in chosen])
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, shares = [], []
+            for slots, counts, places, n in zip(*(b.column(c).to_pylist() for c in ("slots", "counts", "places", "n")), strict=True):
+                f, times = index[np.array(slots, np.int64)], np.frombuffer(counts, "<u4")
+                own = f >= 0
+                rows.append(np.stack([f[own].astype("<u4"), times[own]]).tobytes())
+                tells = np.repeat(own & telling[np.maximum(f, 0)], times)
+                shares.append(len(np.unique(np.frombuffer(places, "<u4")[tells])) / max(n, 1))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(shares, pa.float64()), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "share", "own"])
+
+    got = own.select("doc_id", "toxic", "n", "slots", "counts", "places").mapInArrow(narrow, "doc_id long, toxic int, share double, own binary").collect()
+    got = sorted(got, key=lambda r: (r.doc_id, r.toxic, r.share, r.own))  # the same model whatever order rows come in
+    toxic, share = np.array([r.toxic > 0 for r in got]), np.array([r.share for r in got])
+    cuts = np.quantile(share[toxic], [1 / 3, 2 / 3])
+    grade = np.where(toxic, 1 + np.searchsorted(cuts, share, side="left"), 0)
+    pairs = [np.frombuffer(r.own, "<u4").reshape(2, -1) for r in got]
+    row = np.repeat(np.arange(len(got)), [x.shape[1] for x in pairs])
+    both = np.concatenate(pairs, 1).astype(np.int64)
+    return _fit(row, both[0], np.log1p(both[1]), grade, kept)
+
+
+def _places(places: np.ndarray, cut: np.ndarray) -> pa.Array:
+    return pa.array([places[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
 
 
 def _fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, kept: np.ndarray, steps: int = 400, rate: float = 0.1, penalty: float = 3e-6) -> Model:
@@ -162,7 +179,8 @@ def _fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, k
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs with p_toxic, severity, grade and toxic. No shuffle."""
+    """All columns of docs with p_toxic, severity, grade and toxic, which replace columns of those names. No shuffle."""
+    docs = docs.drop("p_toxic", "severity", "grade", "toxic")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
