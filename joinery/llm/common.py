@@ -21,30 +21,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share.  A temporary one of this machine only in local mode, where all run in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="joinery-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when this Python process ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/joinery-{what}-{uuid.uuid4().hex[:12]}"
+_made: dict[str, SparkSession] = {}
+
+
+def remove(path: str) -> None:
+    """Delete a scratch folder, as soon as nothing reads it any more."""
+    spark = _made.pop(path, None)
+    if spark is None:
+        return
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
+        return
+
+
+atexit.register(lambda: [remove(path) for path in list(_made)])
 
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
-            return
 
-    atexit.register(remove)
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when this Python process ends or by ``remove``."""
+    path = f"{shared_dir(spark).rstrip('/')}/joinery-{what}-{uuid.uuid4().hex[:12]}"
+    _made[path] = spark
     return path
 
 
@@ -56,7 +67,16 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            remove(path)
 
 
 def drop_shuffles(spark: SparkSession) -> None:
@@ -69,6 +89,15 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(df: DataFrame, each: int = 64 << 20) -> int:
+    """Partitions for a shuffle of about the size of ``df``'s files: the session's number, or more where a partition would be over ``each`` bytes.
+
+    The size is the optimizer's estimate; where it has none (tables held by the driver) the session's number stands.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_parts(df.sparkSession), -(-size // each) if size < 1 << 60 else 1)
+
+
 def pack(buckets: np.ndarray, n: int, records: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, bytes of its records): one row a bucket instead of one a record."""
     if not len(records):

@@ -92,7 +92,8 @@ def run_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarra
     return at, mix((sums[at + n] - sums[at]) * down[at] + _U(n))
 
 
-def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, lower: bool) -> Words:
+def bounds(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end; no word crosses from one text to the next."""
     n = len(data)
     mask = kind[data]
     begins = mask.copy()
@@ -102,7 +103,26 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, lower: bool) ->
     inner = offs[(offs > 0) & (offs < n)]
     begins[inner] = mask[inner]
     stops[inner - 1] = mask[inner - 1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs flat[starts[i] : starts[i] + sizes[i]], side by side."""
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for every word: equal words, and no others, have equal numbers."""
+    sizes = ends - starts
+    own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(gather(data, starts, sizes))])
+    return own.dictionary_encode().indices.to_numpy()
+
+
+def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, lower: bool) -> Words:
+    n = len(data)
+    starts, ends = bounds(data, offs, kind)
     up, down = _power(_BASE, n + 1)
     values = (_lower if lower else _byte).astype(_U)[data] + _U(1)
     values *= up[:n]
