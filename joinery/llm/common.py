@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import words
+
 PACKED = "_bucket int, _blob binary"
 _PACKED_SCHEMA = pa.schema([("_bucket", pa.int32()), ("_blob", pa.binary())])
 
@@ -59,15 +62,25 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     A lost executor then costs a reread, not a recomputation, and the write does
-    not evaluate the plan twice as an eager checkpoint does.
+    not evaluate the plan twice as an eager checkpoint does.  ``rows`` bounds the Arrow batches of this
+    write (Spark bounds them by rows only, and holds each twice outside the heap): for wide rows.
     """
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, what)
+    before = spark.conf.get(_BATCH)
+    if rows is not None and not 0 < int(before) < rows:
+        spark.conf.set(_BATCH, rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
@@ -89,6 +102,26 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give memory that is free back to the system: idle Python workers stay for a while beside the next ones."""
+    words._powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        return
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, with memory released at the end of a task."""
+
+    def own(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return own
+
+
 def parts_for(df: DataFrame, each: int = 64 << 20) -> int:
     """Partitions for a shuffle of about the size of ``df``'s files: the session's number, or more where a partition would be over ``each`` bytes.
 

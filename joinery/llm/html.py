@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import boosting, words
+from . import common, boosting, words
 
 TRAIN_PAGES, SEED = 600, 11
 #: Elements by their role in HTML: fixed values.
@@ -423,7 +423,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = main_text([x or "" for x in own.column("html").to_pylist()], trees)
                 yield pa.RecordBatch.from_arrays([own.column("page_id"), own.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return pages.select("page_id", "url", "html").mapInArrow(common.tidy(run), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
 
 
 def digests(pages: DataFrame) -> DataFrame:

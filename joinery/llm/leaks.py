@@ -197,7 +197,7 @@ def blocks(benchmark: DataFrame, window: int, block_words: int) -> list[str]:
                         sizes.append(to - at)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64())], names=["item", "words", "n"])
 
-    own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").mapInArrow(cut, "item string, words string, n long")
+    own = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").mapInArrow(common.tidy(cut), "item string, words string, n long")
     segments = common.materialise(own.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"), F.min("n").alias("n")), "segments")
     n_blocks = -(-(segments.agg(F.sum("n")).first()[0] or 0) // block_words)
     if not n_blocks:
@@ -280,7 +280,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                 names = pa.array([sorted(found.get(i, ())) for i in range(b.num_rows)], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(np.diff(first), pa.int64()), names, _spans(hit, first)], names=[*kept, "n_words", "items", "spans"])
 
-    return docs.select(*kept).mapInArrow(run, f"{own}, n_words long, items array<string>, spans array<struct<start:int,end:int>>")
+    return docs.select(*kept).mapInArrow(common.tidy(run), f"{own}, n_words long, items array<string>, spans array<struct<start:int,end:int>>")
 
 
 def _n_hit():
@@ -328,4 +328,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_coverage: float = MAX_COVER
 
     found = find(docs, benchmark, carry=carry)
     found = found.filter((_n_hit() == 0) | (_n_hit() <= F.col("n_words") * max_coverage))
-    return found.select(*kept, "text", "spans").mapInArrow(run, f"{own}, text string")
+    return found.select(*kept, "text", "spans").mapInArrow(common.tidy(run), f"{own}, text string")

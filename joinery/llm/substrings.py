@@ -112,7 +112,7 @@ def _by_row(packed: DataFrame, kind: np.dtype, parts: int) -> DataFrame:
             blobs = [r[a:b].tobytes() for a, b in zip(cut[at : at + 2000], ends[at : at + 2000], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(r["row"][cut[at : at + 2000]], pa.int64()), pa.array(blobs, pa.binary())], names=["_of", "_marks"])
 
-    return packed.repartition(parts, "_bucket").mapInArrow(run, "_of long, _marks binary")
+    return packed.repartition(parts, "_bucket").mapInArrow(common.tidy(run), "_of long, _marks binary")
 
 
 def _marks(b: pa.RecordBatch, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -192,8 +192,8 @@ def repeated_anchors(docs: DataFrame, parts: int, window: int, gram: int) -> tup
         marks["row"], marks["place"] = r["row"], r["place"] & _PLACE
         yield from common.pack(_bucket(marks["row"], parts), parts, marks)
 
-    packed = docs.select("_row", "text").mapInArrow(scan, common.PACKED)
-    found = common.materialise(packed.repartition(parts, "_bucket").mapInArrow(gather, common.PACKED), "anchors")
+    packed = docs.select("_row", "text").mapInArrow(common.tidy(scan), common.PACKED)
+    found = common.materialise(packed.repartition(parts, "_bucket").mapInArrow(common.tidy(gather), common.PACKED), "anchors")
     counts = np.zeros((SLICES, slots // SLICES), np.int64)
     for row in found.filter("_bucket < 0").collect():  # a table of fixed size, in SLICES rows
         counts[row[0] + SLICES] += np.frombuffer(row[1], np.int64)
@@ -360,8 +360,8 @@ def removed_windows(placed: DataFrame, anchors: DataFrame, slots: np.ndarray, pa
         for b in _back(out, parts):
             yield pa.RecordBatch.from_arrays([b.column("_bucket"), b.column("_heads")], names=["_bucket", "_blob"])
 
-    packed = _joined(placed, _by_row(anchors, _MARK, parts)).select("_doc", "_row", "text", "_marks").mapInArrow(scan, _SENT)
-    return _by_row(packed.repartition(parts, "_bucket").mapInArrow(subtrees, common.PACKED), _RUN, parts)
+    packed = _joined(placed, _by_row(anchors, _MARK, parts)).select("_doc", "_row", "text", "_marks").mapInArrow(common.tidy(scan), _SENT)
+    return _by_row(packed.repartition(parts, "_bucket").mapInArrow(common.tidy(subtrees), common.PACKED), _RUN, parts)
 
 
 def _sent(data, text, window, doc, name, at, runs, start, bucket, parts) -> Iterator[pa.RecordBatch]:
@@ -454,7 +454,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group_size: i
                 )
 
     out = f"doc_id {kind}, n_words long, n_removed long, spans array<struct<start:int,end:int>>, text string, rest {docs.schema['rest'].dataType.simpleString()}"
-    done = _joined(placed, found).select("doc_id", "_doc", "text", "rest", "_marks").mapInArrow(cut, out)
+    done = _joined(placed, found).select("doc_id", "_doc", "text", "rest", "_marks").mapInArrow(common.tidy(cut), out)
     return done if carry else done.drop("rest")
 
 

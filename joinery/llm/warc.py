@@ -131,7 +131,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         if out:
             yield flush()
 
-    return with_first(pages).sortWithinPartitions("page_id").mapInArrow(run, "path string, n_records long")
+    return with_first(pages).sortWithinPartitions("page_id").mapInArrow(common.tidy(run), "path string, n_records long")
 
 
 def read(archives: DataFrame, payload: bool = True) -> DataFrame:
@@ -155,7 +155,7 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    return archives.select("path").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    return archives.select("path").mapInArrow(common.tidy(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
 _ROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())])

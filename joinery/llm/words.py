@@ -106,11 +106,22 @@ def bounds(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.nda
     return np.flatnonzero(begins), np.flatnonzero(stops) + 1
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs flat[starts[i] : starts[i] + sizes[i]], side by side."""
-    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    at += np.arange(len(at))
-    return flat[at]
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """The runs flat[starts[i] : starts[i] + sizes[i]], side by side; places are worked out for about ``step`` values at a time."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    i = 0
+    while i < len(starts):
+        base = int(ends[i] - sizes[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + step, side="right")))
+        if j == i + 1:
+            out[base : ends[i]] = flat[starts[i] : starts[i] + sizes[i]]
+        else:
+            at = np.repeat(starts[i:j] - (ends[i:j] - sizes[i:j] - base), sizes[i:j])
+            at += np.arange(len(at))
+            out[base : ends[j - 1]] = flat[at]
+        i = j
+    return out
 
 
 def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -132,7 +143,11 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, lower: bool) ->
     return Words(starts, ends, hashes, np.searchsorted(starts, offs))
 
 
-def parts(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: Bytes of text worked on at once (about 50 times as many of working memory), just under a power of two, as tables of powers are.
+SLICE = (1 << 20) - 64
+
+
+def parts(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """The column in slices of about ``most`` bytes (one text at least): from, to, bytes, offsets."""
     data, offs = text_bytes(column)
     at, n = 0, len(column)
