@@ -32,10 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common, words
+
 #: The split pattern and the byte alphabet of byte-level BPE: fixed values of the public format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bounds a Python worker: bytes of text at once, cached pieces (about 60 MB, in two halves: the older is dropped when the other is full), remembered pairs and steps (30 MB each).
-SLICE, MAX_CACHED, MAX_PAIRS = 8 << 20, 300_000, 300_000
+#: Bounds a Python worker: bytes of text at once, cached pieces (about 40 MB, in two halves: the older is dropped when the other is full), remembered pairs and steps (20 MB each).
+SLICE, MAX_CACHED, MAX_PAIRS = 4 << 20, 200_000, 200_000
 
 
 def _alphabet() -> dict[str, int]:
@@ -62,8 +64,8 @@ class TrieBPE:
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
         self.lengths = list(map(len, self.bytes))
-        sizes = np.array(self.lengths, np.int64)
-        self.table = sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(self.bytes), np.uint8)
+        sizes = np.array(self.lengths, np.int32)
+        self.table = sizes, (np.cumsum(sizes) - sizes).astype(np.int32), np.frombuffer(b"".join(self.bytes), np.uint8)
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}  # pair of ids: rank, merged id
         self.halves: dict[int, tuple[int, int, int]] = {}  # merged id: left, right, rank
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -175,12 +177,12 @@ class TrieBPE:
                 until_right, t = right[2], right[0]
                 right = self.halves.get(t, (0, 0, -1))
 
-    def walk(self, words: list[bytes]) -> list[bytes]:
+    def walk(self, own: list[bytes]) -> list[bytes]:
         """Encodings, as little-endian 32-bit ids, of distinct sorted words; their trie depth first."""
         out, edge, step, ending_of, ending, known, apart, size = [], self.edge.get, self.step, self._ending, self.ending, self._apart.get, self.apart, self.size
         path, last, nodes = b"", [-1], [0]  # the trie node we stand on; of each node above it the state and the vocabulary's node
         lengths = self.lengths
-        for word in words:
+        for word in own:
             at, most = 0, min(len(path), len(word))
             if word[:most] == path[:most]:
                 at = most
@@ -213,16 +215,17 @@ class TrieBPE:
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces of the split pattern."""
-        words = sorted({p.encode() for p in pieces if p not in self.special})
-        got = dict(zip(words, self.walk(words), strict=True))
+        own = sorted({p.encode() for p in pieces if p not in self.special})
+        got = dict(zip(own, self.walk(own), strict=True))
         return [array("I", [self.special[p]]).tobytes() if p in self.special else got[p.encode()] for p in pieces]
 
     def decode(self, flat: np.ndarray, offs: np.ndarray) -> pa.Array:
         """The texts of lists of ids: bytes of tokens side by side; what is not UTF-8 becomes U+FFFD."""
         sizes, starts, data = self.table
-        flat = flat.astype(np.int64)
-        raw = _gather(data, starts, sizes, flat)
-        ends = np.r_[0, np.cumsum(sizes[flat])][offs]
+        n = sizes[flat]
+        raw = words.gather(data, starts[flat], n)
+        ends = np.r_[0, np.cumsum(n, dtype=np.int64)][offs]
+        del n
         inner = ends[:-1][ends[:-1] < len(raw)]
         try:
             raw.tobytes().decode()
@@ -281,37 +284,38 @@ class LibraryBPE:
         return out
 
 
-def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The runs flat[starts[i] : starts[i] + sizes[i]] of all i of ``which``, side by side."""
-    n = sizes[which]
-    at = np.repeat(starts[which] - (np.cumsum(n) - n), n)
-    at += np.arange(len(at))
-    return flat[at]
-
-
 #: White space beyond ASCII in UTF-8: two-byte and three-byte forms, fixed values of Unicode.
 _WIDE_2 = (0xC285, 0xC2A0)
 _WIDE_3 = (0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080)
 
 
+def _white(padded: np.ndarray, at: np.ndarray, before: bool) -> np.ndarray:
+    """Whether white space ends just before ``at``, or begins there; ``padded`` has 3 bytes more on both sides."""
+    one = padded[at - 1 if before else at]
+    out = ((one >= 9) & (one <= 13)) | ((one >= 0x1C) & (one <= 0x20))
+    odd = np.flatnonzero(one >= 0x80)
+    byte = lambda k: padded[at[odd] + k].astype(np.int64)
+    two, three = ((-2, -1), (-3, -2, -1)) if before else ((0, 1), (0, 1, 2))
+    out[odd] = np.isin(byte(two[0]) << 8 | byte(two[1]), _WIDE_2) | np.isin(byte(three[0]) << 16 | byte(three[1]) << 8 | byte(three[2]), _WIDE_3)
+    return out
+
+
+def _padded(data: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(data) + 6, np.uint8)
+    out[3:-3] = data
+    return out
+
+
 def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Starts of chunks: of texts, and single spaces between two characters that are not white space.
 
     Such a space always begins a word of the split pattern, and nothing before it looks behind it.
     """
-    n = len(data)
-    padded = np.zeros(n + 6, np.uint8)
-    padded[3 : n + 3] = data
+    n, padded = len(data), _padded(data)
     at = np.flatnonzero(data == 0x20) + 3
-    narrow = lambda x: ((x >= 9) & (x <= 13)) | ((x >= 0x1C) & (x <= 0x20))
-    byte = lambda k: padded[at + k].astype(np.int64)
-    bad = narrow(padded[at - 1]) | narrow(padded[at + 1])
-    odd = np.flatnonzero(~bad & ((padded[at - 1] >= 0x80) | (padded[at + 1] >= 0x80)))
-    at, whole = at[odd], at
-    bad[odd] = np.isin(byte(-2) << 8 | byte(-1), _WIDE_2) | np.isin(byte(1) << 8 | byte(2), _WIDE_2)
-    bad[odd] |= np.isin(byte(-3) << 16 | byte(-2) << 8 | byte(-1), _WIDE_3) | np.isin(byte(1) << 16 | byte(2) << 8 | byte(3), _WIDE_3)
+    at = at[~(_white(padded, at, True) | _white(padded, at + 1, False))]
     mask = np.zeros(n + 1, bool)
-    mask[whole[~bad] - 3] = True
+    mask[at - 3] = True
     mask[np.maximum(offs[1:] - 1, 0)] = False  # a text's last byte
     mask[offs[:-1]] = True
     return np.flatnonzero(mask[:n])
@@ -351,34 +355,35 @@ class Chunked:
             return np.empty(0, "<u4"), np.zeros(len(offs), np.int64)
         ends = np.r_[starts, len(data)]
         chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        distinct, which = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        which, distinct = chunks.indices.to_numpy(), chunks.dictionary
+        del chunks, ends
+        raw, at = words.text_bytes(distinct)
         # chunks that begin with a space and do not end in white space may stand side by side
-        plain = np.array([c[0] == " " and not c[-1].isspace() for c in distinct])
+        plain = (raw[at[:-1]] == 0x20) & ~_white(_padded(raw), at[1:] + 3, True)
+        sizes = np.diff(at)[plain]
         places = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
-        n_plain = int(plain.sum())
-        pieces = self._split("".join([distinct[i] for i in places[:n_plain].tolist()]))
-        size = pc.binary_length(pa.array(distinct, pa.string())).to_numpy()[places[:n_plain]] if n_plain else np.empty(0, np.int64)
-        at = np.r_[0, np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy(zero_copy_only=False))].astype(np.int64)
-        first = np.searchsorted(at, np.r_[0, np.cumsum(size)].astype(np.int64))
-        more = []
-        for i in places[n_plain:].tolist():
-            own = self._split(distinct[i])
+        pieces = self._split(words.gather(raw, at[:-1][plain], sizes).tobytes().decode())
+        more = [0]
+        for own in map(self._split, distinct.filter(pa.array(~plain)).to_pylist()):
             pieces += own
             more.append(len(own))
-        first = np.r_[first, first[-1] + np.cumsum(more)].astype(np.int64)  # of each chunk, in order of places, its first piece
         named = pa.array(pieces, pa.string()).dictionary_encode()
-        blobs = self._ids(named.dictionary.to_pylist())
-        flat, n = np.frombuffer(b"".join(blobs), "<u4"), np.array([len(b) // 4 for b in blobs], np.int64)
+        del pieces, distinct, raw
         index = named.indices.to_numpy()
-        flat = _gather(flat, np.cumsum(n) - n, n, index)  # ids of the distinct chunks in order of places
-        before = np.r_[0, np.cumsum(n[index])]
-        order = np.empty(len(places), np.int64)
-        order[places] = np.arange(len(places))
+        # of each chunk, in order of places, its first piece
+        width = pc.binary_length(named.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)[index]
+        first = np.searchsorted(np.r_[0, np.cumsum(width)], np.r_[0, np.cumsum(sizes)])
+        first = np.r_[first[:-1], first[-1] + np.cumsum(more)]
+        blobs = self._ids(named.dictionary.to_pylist())
+        flat, n = np.frombuffer(b"".join(blobs), "<u4"), np.array(list(map(len, blobs)), np.int64) // 4
+        flat = words.gather(flat, (np.cumsum(n) - n)[index], n[index])  # ids of the distinct chunks in order of places
+        before = np.r_[0, np.cumsum(n[index])][first]
+        order = np.empty(len(places), np.int32)
+        order[places] = np.arange(len(places), dtype=np.int32)
         which = order[which]
-        sizes = before[first[1:]] - before[first[:-1]]
-        ids = _gather(flat, before[first[:-1]], sizes, which)
-        total = np.r_[0, np.cumsum(sizes[which])]
-        return ids, total[np.searchsorted(starts, offs)]
+        sizes = np.diff(before)[which]
+        total = np.r_[0, np.cumsum(sizes)]
+        return words.gather(flat, before[which], sizes), total[np.searchsorted(starts, offs)]
 
 
 _loaded: dict[tuple[str, str], object] = {}
@@ -393,24 +398,37 @@ def loaded(kind: str, path: str):
 
 def text_slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches in slices of about ``most`` bytes of text, with their bytes and offsets (null: empty)."""
-    from . import words
-
     for b in batches:
         for at, to, data, offs in words.parts(b.column(name), most):
             yield b.slice(at, to - at), data, offs
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Small batches joined to ones of about ``most`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _lists(ids: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
+
+
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and ids (array of int) of every text. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = loaded("trie", tokenizer)
         for piece, data, offs in text_slices(batches, "text"):
-            ids, at = own.encode(data, offs)
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view("<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _lists(*own.encode(data, offs))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -428,14 +446,34 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
                 flat, offs = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, tables.decode(flat, offs - offs[0])], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(common.tidy(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, ids and the text decoded from them, in one pass of one worker, which holds one set of tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, tables = loaded("trie", tokenizer), loaded("tables", tokenizer)
+        for piece, data, offs in text_slices(gathered(batches, SLICE), "text"):
+            ids, at = own.encode(data, offs)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _lists(ids, at), tables.decode(ids, at)], names=["doc_id", "ids", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+
+
+#: Rows of an Arrow batch of texts, where a step is written.
+BATCH = 1000
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    return decode(encode(docs, tokenizer), tokenizer).select(
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document.
+
+    Written at once, so that batches of long texts can be bounded; the table is of digests, and small.
+    """
+    own = round_trip(docs, tokenizer).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(F.col("text"), 256).alias("decoded_sha256"),
     )
+    return common.materialise(own, "digests", BATCH)

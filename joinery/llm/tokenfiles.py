@@ -52,34 +52,33 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded = np.zeros(blocks * BLOCK, _U)
     padded[:n] = ids
     grid[:, :BLOCK] = padded.reshape(blocks, BLOCK)
-    # the selector of the most ids that fit, at every place
-    width = np.zeros(grid.shape, np.uint8)
-    for b in sorted(set(BITS.tolist())):
-        width[grid >> _U(b) > 0] = b + 1
-    need = np.searchsorted(np.array(sorted(set(BITS.tolist()))), width).astype(np.uint8)  # index of the least bits that hold it
-    classes = {b: i for i, b in enumerate(sorted(set(BITS.tolist())))}
+    # the selector of the most ids that fit, at every place: by the least bits that hold an id, and the most of that over 1, 2, 4 ... ids
+    classes = np.unique(BITS)
+    need = np.zeros(grid.shape, np.uint8)
+    need[:, :BLOCK] = np.searchsorted((1 << classes.astype(_U)) - _U(1), padded).astype(np.uint8).reshape(blocks, BLOCK)
+    runs = [need]
+    while 2 << (len(runs) - 1) <= COUNTS[0]:
+        have = 1 << (len(runs) - 1)
+        runs.append(np.maximum(runs[-1][:, :-have], runs[-1][:, have:]))
     selector = np.full((blocks, BLOCK), 15, np.uint8)
     for s in range(14, -1, -1):
-        run, have = need, 1
-        while have * 2 <= COUNTS[s]:
-            run, have = np.maximum(run[:, :-have], run[:, have:]), have * 2
-        if have < COUNTS[s]:
-            k = COUNTS[s] - have
-            run = np.maximum(run[:, :-k], run[:, k:])
-        selector[run[:, :BLOCK] <= classes[int(BITS[s])]] = s
+        own = runs[int(COUNTS[s]).bit_length() - 1]
+        k = COUNTS[s] - (1 << (int(COUNTS[s]).bit_length() - 1))
+        fits = np.maximum(own[:, :BLOCK], own[:, k : k + BLOCK]) <= np.searchsorted(classes, BITS[s])
+        selector[fits] = s
     sizes = np.full(blocks, BLOCK)
     if n % BLOCK:
         sizes[-1] = n % BLOCK
-    at, rows, picked = np.zeros(blocks, np.int64), [], []
+    at, steps = np.zeros(blocks, np.int64), []
     live = np.arange(blocks)
-    while len(live):
-        rows.append(live)
-        picked.append(at[live])
+    while len(live):  # a word of every block that has ids left
+        steps.append(np.full(blocks, -1, np.int64))
+        steps[-1][live] = at[live]
         at[live] += COUNTS[selector[live, at[live]]]
         live = live[at[live] < sizes[live]]
-    row, place = np.concatenate(rows or [live]), np.concatenate(picked or [live])
-    order = np.lexsort((place, row))
-    row, place = row[order], place[order]
+    picked = np.stack(steps, 1) if steps else np.empty((0, 0), np.int64)
+    row, step = np.nonzero(picked >= 0)
+    place = picked[row, step]
     chosen = selector[row, place] if len(row) else np.empty(0, np.uint8)
     words = chosen.astype(_U) << _U(60)
     for s in range(2, 16):
@@ -163,6 +162,8 @@ def local_uri(uri: str) -> str:
 
 #: Ids buffered before a partition's file is closed and the next begun (40 MB of ids).
 MAX_IDS = 10_000_000
+#: Bytes of text that are encoded together: the more, the fewer pieces are looked up again.
+SLICE = 12 << 20
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
@@ -184,7 +185,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
                 yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (part, seq, path, len(names), int(n.sum()))], names=["part", "seq", "path", "n_docs", "n_ids"])
                 names, sizes, parts, held, seq = [], [], [], 0, seq + 1
 
-        for piece, data, offs in bpe.text_slices(batches, "text"):
+        for piece, data, offs in bpe.text_slices(bpe.gathered(batches, SLICE), "text", SLICE):
             ids, at = own.encode(data, offs)
             names += piece.column("doc_id").to_pylist()
             sizes.append(np.diff(at) + 1)
@@ -196,7 +197,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
     own = own.repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    return own.mapInArrow(run, "part long, seq long, path string, n_docs long, n_ids long")
+    return own.mapInArrow(common.tidy(run), "part long, seq long, path string, n_docs long, n_ids long")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -222,7 +223,7 @@ def read(files: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    return files.select("path", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.select("path", "first").mapInArrow(common.tidy(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -239,5 +240,5 @@ def manifest(files: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
-    files = common.materialise(write(docs, tokenizer, common.scratch(spark, "tokens")), "files")
+    files = common.materialise(write(docs, tokenizer, common.scratch(spark, "tokens")), "files", bpe.BATCH)
     return read(manifest(files)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
