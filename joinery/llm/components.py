@@ -21,23 +21,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and the least node that it is connected with, of all nodes of links (a, b).
 
-    Every round is written to the shared folder.  A hot node's neighbours are
+    Rounds go on until nothing changes (about the square of the logarithm of the longest chain); every round is written to the
+    shared folder, and the one before is removed.  A hot node's neighbours are
     first reduced to their least by partial aggregation; the join back is
     one row against many, which adaptive execution splits.
     """
     edges = common.materialise(links.select("a", "b").filter("a <> b").distinct(), "links")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = mark(edges)
-    for _ in range(most_rounds):
-        edges = common.materialise(_star(_star(edges, True), False), "stars")
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+    before, now = None, mark(edges)
+    while now != before:
+        stars = common.materialise(_star(_star(edges, True), False), "stars")
+        before, now = now, mark(stars)
+        common.drop(edges)
+        edges = stars
     # settled: every edge leads from a node to its component's least node
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
