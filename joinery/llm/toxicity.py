@@ -88,31 +88,20 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_gap: float = MIN_GAP) -> Model:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo, hi, data, offs in w.parts(whole.column("text")):
-                rows, which, slots, text = features(data, offs)
-                key, n = np.unique(rows << 20 | slots, return_counts=True)
-                cut = np.searchsorted(key, np.arange(hi - lo + 1) << 20)
-                slot = (key & (_SLOTS - 1)).astype("<u4")
-                pack = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())  # noqa: B023, E731
-                order = np.lexsort((which, rows << 20 | slots))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        whole.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), whole.column("_toxic").slice(lo, hi - lo).cast(pa.int32()), pa.array(np.diff(text.first), pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(slot.view("<i4"))), pack(n, "<u4"), _places(which[order] - text.first[rows[order]], np.r_[0, np.cumsum(n)][cut]),
-                    ],
-                    names=["doc_id", "toxic", "n", "slots", "counts", "places"],
-                )
+                rows, _, slots, _ = features(data, offs)
+                key = np.unique(rows << 20 | slots)
+                toxic = whole.column("_toxic").slice(lo, hi - lo).to_numpy(zero_copy_only=False)[key >> 20] > 0
+                yield pa.RecordBatch.from_arrays([pa.array(key & (_SLOTS - 1), pa.int32()), pa.array(toxic)], names=["slot", "bad"])
 
     nothing = Model(np.empty(0, np.int64), np.empty(0), np.full(GRADES - 1, 40.0))
-    own = _sample(docs, labels, max_train).mapInArrow(run, "doc_id long, toxic int, n long, slots array<int>, counts binary, places binary")
-    own = common.materialise(own, "sample")
-    size = {int(r.t): r.c for r in own.groupBy((F.col("toxic") > 0).cast("int").alias("t")).agg(F.count("*").alias("c")).collect()}
+    own = common.materialise(_sample(docs, labels, max_train), "sample")
+    size = {int(r.t): r.c for r in own.groupBy((F.col("_toxic") > 0).cast("int").alias("t")).agg(F.count("*").alias("c")).collect()}
     if len(size) < 2:
         return nothing
-    bad = F.col("toxic") > 0
-    df = own.select(F.explode("slots").alias("slot"), bad.alias("bad")).groupBy("slot").agg(F.count_if("bad").alias("d1"), F.count_if(~F.col("bad")).alias("d0"))
+    df = own.mapInArrow(common.tidy(slots_of), "slot int, bad boolean").groupBy("slot").agg(F.count_if("bad").alias("d1"), F.count_if(~F.col("bad")).alias("d0"))
     p = (F.col("d0") + F.col("d1")) / (size[0] + size[1])
     gap = F.abs(F.col("d1") / size[1] - F.col("d0") / size[0]) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / size[0] + 1 / size[1]))
     chosen = df.filter((F.col("d0") + F.col("d1") >= 3) & (gap > min_gap)).orderBy("slot").collect()  # at most _SLOTS rows
@@ -124,17 +113,24 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_ga
     telling = np.array([r.d0 <= 0.02 * r.d1 for r in chosen])
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, shares = [], []
-            for slots, counts, places, n in zip(*(b.column(c).to_pylist() for c in ("slots", "counts", "places", "n")), strict=True):
-                f, times = index[np.array(slots, np.int64)], np.frombuffer(counts, "<u4")
-                own = f >= 0
-                rows.append(np.stack([f[own].astype("<u4"), times[own]]).tobytes())
-                tells = np.repeat(own & telling[np.maximum(f, 0)], times)
-                shares.append(len(np.unique(np.frombuffer(places, "<u4")[tells])) / max(n, 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(shares, pa.float64()), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "share", "own"])
-
-    got = own.select("doc_id", "toxic", "n", "slots", "counts", "places").mapInArrow(narrow, "doc_id long, toxic int, share double, own binary").collect()
+        for whole in batches:
+            for lo, hi, data, offs in w.parts(whole.column("text")):
+                rows, which, slots, text = features(data, offs)
+                f = index[slots]
+                rows, which, f = rows[f >= 0], which[f >= 0], f[f >= 0].astype(np.int64)
+                told = np.unique(which[telling[f]])  # words that tell, each once
+                n = np.diff(text.first)
+                share = np.bincount(text.of()[told], minlength=hi - lo) / np.maximum(n, 1)
+                key, times = np.unique(rows << 20 | f, return_counts=True)
+                cut = np.searchsorted(key, np.arange(hi - lo + 1) << 20)
+                pairs = [np.stack([key[a:b] & (_SLOTS - 1), times[a:b]]).astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [whole.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), whole.column("_toxic").slice(lo, hi - lo).cast(pa.int32()), pa.array(share, pa.float64()), pa.array(pairs, pa.binary())],
+                    names=["doc_id", "toxic", "share", "own"],
+                )
+
+    got = own.mapInArrow(common.tidy(narrow), "doc_id long, toxic int, share double, own binary").collect()
+    common.drop(own)
     got = sorted(got, key=lambda r: (r.doc_id, r.toxic, r.share, r.own))  # the same model whatever order rows come in
     toxic, share = np.array([r.toxic > 0 for r in got]), np.array([r.share for r in got])
     cuts = np.quantile(share[toxic], [1 / 3, 2 / 3])
@@ -145,10 +141,6 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, min_ga
     return _fit(row, both[0], np.log1p(both[1]), grade, kept)
 
 
-def _places(places: np.ndarray, cut: np.ndarray) -> pa.Array:
-    return pa.array([places[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
-
-
 def _fit(row: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, kept: np.ndarray, steps: int = 400, rate: float = 0.1, penalty: float = 3e-6) -> Model:
     """Adam on the mean log loss, clean and toxic documents weighing alike; thresholds are a first one and positive gaps."""
     n, k = len(grade), GRADES - 1
@@ -196,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 )
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*kept, "p_toxic double, severity double, grade int, toxic boolean"]))
+    return docs.mapInArrow(common.tidy(run), ", ".join([*kept, "p_toxic double, severity double, grade int, toxic boolean"]))
 
 
 def grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
