@@ -3,12 +3,14 @@
 A vector is encoded as the sum of one codeword from each of ``BOOKS`` codebooks
 of full dimension, found by beam search over residuals; the norm of the sum is stored.
 A query's table of products with all codewords then gives each candidate's
-distance from lookups and the stored norm; the ``SHORTLIST`` best of a block
-(and all that tie with the last) are measured again on the original vectors.
+distance from lookups and the stored norm.
 
-Candidates lie in blocks of at most ``BLOCK`` rows, queries in blocks of at most
-``QUERIES``; every query block visits every bucket of candidate blocks through an
-equi-join, so memory is bounded by two blocks and nothing that grows is broadcast.
+Candidates lie in cells by their codeword of the first codebook, and a query visits the ``PROBES`` cells whose codewords
+are nearest to it.  A first pass finds, by lookups alone, how far the ``SHORTLIST``-th best of all its candidates is;
+a second pass measures on the original vectors those that are no farther, and no others: one shortlist a query.
+
+Cells meet queries through an equi-join on cell and bucket (a hot cell's blocks lie in many buckets), block by
+block, so memory is bounded by two blocks and the running bests; nothing that grows is broadcast.
 
 The codebooks are fitted on at most ``MAX_TRAIN`` vectors, those of the smallest hash of
 vec_id; every vector is encoded.
@@ -16,7 +18,8 @@ vec_id; every vector is encoded.
 Defined results: vectors that are null, zero, hold null or non-finite components, have a null
 vec_id or another dimension than most of the sample take no part; ties go to the smaller
 vec_id; rows with the query's own vec_id are not its candidates; repeated rows are one
-candidate each; other columns are ignored.
+candidate each; a query id with several valid vectors asks with the least of them (compared component by component);
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BOOKS, WORDS, BEAM, MAX_TRAIN, BLOCK, QUERIES, SHORTLIST, NEAREST, EVERY = 12, 64, 4, 8192, 4096, 256, 256, 10, 100
+BOOKS, WORDS, BEAM, MAX_TRAIN, BLOCK, QUERIES, PROBES, SHORTLIST, NEAREST, EVERY = 12, 64, 4, 8192, 4096, 256, 24, 512, 10, 100
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -99,42 +102,83 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, flat.reshape(len(ok), dim)
 
 
-def _blocks(vectors: DataFrame, books: np.ndarray, dim: int, most: int, coded: bool) -> DataFrame:
+def _blocks(vectors: DataFrame, books: np.ndarray, dim: int, buckets: int) -> DataFrame:
+    """Candidates by cell: cell, bucket, ids, vectors, codes, norms."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, x = _matrix(b.column("embedding"), dim)
             ids = b.column("vec_id").to_numpy(zero_copy_only=False)[ok]
-            for at in range(0, len(ids), most):
-                own, part = ids[at : at + most], x[at : at + most]
-                codes, norms = encode(part, books) if coded else (np.empty(0, np.uint8), np.empty(0))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v.tobytes()], pa.binary()) for v in (own.astype("<i8"), part.astype("<f8"), codes, norms.astype("<f8"))],
-                    names=["ids", "vectors", "codes", "norms"],
-                )
+            if not len(ids):
+                continue
+            codes, norms = encode(x, books)
+            for cell in np.unique(codes[:, 0]).tolist():
+                whole = np.flatnonzero(codes[:, 0] == cell)
+                for own in (whole[at : at + BLOCK] for at in range(0, len(whole), BLOCK)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([cell], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (ids[own].astype("<i8"), x[own].astype("<f8"), codes[own], norms[own].astype("<f8"))]],
+                        names=["cell", "ids", "vectors", "codes", "norms"],
+                    )
 
-    return vectors.mapInArrow(run, "ids binary, vectors binary, codes binary, norms binary")
+    own = vectors.mapInArrow(common.tidy(run), "cell int, ids binary, vectors binary, codes binary, norms binary")
+    return own.withColumn("bucket", F.pmod(F.xxhash64("ids"), F.lit(buckets)).cast("int"))
 
 
-def best_of_block(q_ids, q, ids, x, codes, norms, books, shortlist: int, nearest: int):
-    """For each query the exact best of a block: (query, vec_id, distance)."""
+def _asked(queries: DataFrame, books: np.ndarray, dim: int, probes: int, buckets: int) -> DataFrame:
+    """Queries (vec_id, embedding, far) by the cells that they visit: cell, bucket, q_ids, q, far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok, x = _matrix(b.column("embedding"), dim)
+            if not len(ok):
+                continue
+            ids, far = (b.column(c).to_numpy(zero_copy_only=False)[ok] for c in ("vec_id", "far"))
+            near = (books[0] ** 2).sum(1)[None] - 2 * x @ books[0].T
+            n = min(probes, len(books[0]))
+            cells = np.argpartition(near, n - 1, 1)[:, :n]
+            for cell in np.unique(cells).tolist():
+                whole = np.flatnonzero((cells == cell).any(1))
+                for own in (whole[at : at + QUERIES] for at in range(0, len(whole), QUERIES)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([cell], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (ids[own].astype("<i8"), x[own].astype("<f8"), far[own].astype("<f8"))]],
+                        names=["cell", "q_ids", "q", "far"],
+                    )
+
+    own = queries.select("vec_id", "embedding", "far").mapInArrow(common.tidy(run), "cell int, q_ids binary, q binary, far binary")
+    return own.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+
+
+def lookups(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Squared distances to the coded candidates, less the query's own square, by tables; a query's own rows are infinitely far."""
     tables = np.einsum("qd,mkd->mqk", q, books)
     rough = np.repeat(norms[None], len(q), 0)
     for m in range(len(books)):
         rough -= 2 * tables[m][:, codes[:, m]]
-    out = []
-    for i, own in enumerate(q_ids.tolist()):
-        score = np.where(ids == own, np.inf, rough[i])
-        take = np.arange(len(ids)) if len(ids) <= shortlist else np.flatnonzero(score <= np.partition(score, shortlist - 1)[shortlist - 1] + 1e-9)
-        take = take[ids[take] != own]
-        exact = np.sqrt(((x[take] - q[i]) ** 2).sum(1))
-        order = np.lexsort((ids[take], exact))[:nearest]
-        out += [(own, int(v), float(d)) for v, d in zip(ids[take][order], exact[order], strict=True)]
-    return out
-
-
-def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, shortlist: int = SHORTLIST, max_train: int = MAX_TRAIN) -> DataFrame:
+    rough[q_ids[:, None] == ids[None]] = np.inf
+    return rough
+
+
+class Bests:
+    """The ``most`` least values seen for each query."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.held = most, {}
+
+    def add(self, query: int, values: np.ndarray) -> None:
+        old = self.held.get(query)
+        both = values if old is None else np.concatenate([old, values])
+        self.held[query] = np.partition(both, self.most - 1)[: self.most] if len(both) > self.most else both
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.held), 5000):
+            some = list(self.held.items())[at : at + 5000]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([v.astype("<f8").tobytes() for _, v in some], pa.binary())], names=["vec_id", "values"])
+        self.held = {}
+
+
+def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, shortlist: int = SHORTLIST, probes: int = PROBES, max_train: int = MAX_TRAIN) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of each query's nearest candidates."""
-    vectors, queries = valid(vectors), valid(queries)
+    vectors, queries = valid(vectors), valid(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_train).collect()
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -144,24 +188,52 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, short
     dim = max(sorted(set(sizes)), key=sizes.count)
     books = fit(np.array([r.embedding for r in sample if len(r.embedding) == dim], np.float64))
     parts = common.shuffle_parts(spark)
-    found = _blocks(vectors, books, dim, BLOCK, True).withColumn("bucket", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
-    asked = _blocks(queries.coalesce(max(1, parts // 4)), books, dim, QUERIES, False).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
-    asked = asked.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    buckets = -(-parts // len(books[0]))
+    found = _blocks(vectors, books, dim, buckets)
+    read = lambda r, name, kind, *shape: np.frombuffer(r[name], kind).reshape(*shape)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
-                read = lambda name, kind, *shape: np.frombuffer(r[name], kind).reshape(*shape)  # noqa: B023, E731
-                got = best_of_block(
-                    read("q_ids", "<i8", -1), read("q", "<f8", -1, dim), read("ids", "<i8", -1), read("vectors", "<f8", -1, dim),
-                    read("codes", np.uint8, -1, len(books)), read("norms", "<f8", -1), books, shortlist, nearest,
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)] if got else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64())], names=["query_id", "vec_id", "score"])
-
-    near = found.join(asked, "bucket").drop("bucket").mapInArrow(run, "query_id long, vec_id long, score double")
+                q_ids, q, ids, x = read(r, "q_ids", "<i8", -1), read(r, "q", "<f8", -1, dim), read(r, "ids", "<i8", -1), read(r, "vectors", "<f8", -1, dim)
+                yield q_ids, q, ids, x, lookups(q_ids, q, ids, read(r, "codes", np.uint8, -1, len(books)), read(r, "norms", "<f8", -1), books), read(r, "far", "<f8", -1)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Bests(shortlist)
+        for q_ids, _, _, _, rough, _ in cells(batches):
+            for i, own in enumerate(q_ids.tolist()):
+                best.add(own, rough[i])
+            if len(best.held) > 10_000:
+                yield from best.rows()
+        yield from best.rows()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Bests(shortlist)
+        for b in batches:
+            for k, v in zip(b.column("vec_id").to_pylist(), b.column("values").to_pylist(), strict=True):
+                best.add(k, np.frombuffer(v, "<f8"))
+        for b in best.rows():
+            far = [np.frombuffer(v, "<f8").max() for v in b.column("values").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(far, pa.float64())], names=["vec_id", "far"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q_ids, q, ids, x, rough, far in cells(batches):
+            got = []
+            for i, own in enumerate(q_ids.tolist()):
+                take = np.flatnonzero((rough[i] <= far[i] + 1e-9 * (1 + abs(far[i]))) & (rough[i] < np.inf))
+                exact = np.sqrt(((x[take] - q[i]) ** 2).sum(1))
+                order = np.lexsort((ids[take], exact))[:nearest]
+                got += [(own, int(v), float(d)) for v, d in zip(ids[take][order], exact[order], strict=True)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+    ask = lambda asked: found.hint("merge").join(_asked(asked, books, dim, probes, buckets), ["cell", "bucket"])
+    held = ask(queries.withColumn("far", F.lit(0.0))).mapInArrow(common.tidy(first), "vec_id long, values binary")
+    far = common.materialise(held.repartition(parts, "vec_id").mapInArrow(common.tidy(merge), "vec_id long, far double"), "shortlists")
+    near = ask(queries.join(far.hint("merge"), "vec_id")).mapInArrow(common.tidy(second), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
 def every_hundredth(vectors: DataFrame, every: int = EVERY) -> DataFrame:
-    return search(vectors, vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]))
+    return search(vectors, vectors.filter(F.col("vec_id") % every == 0))
