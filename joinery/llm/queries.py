@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html, leaks, licenses, nearcopies, substrings, tokenfiles, toxicity, warc
+from . import ann, bpe, html, leaks, licenses, nearcopies, oracles, substrings, tokenfiles, toxicity, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,4 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.oracle_sql()}
+    return {
+        "op3_warc": oracles.warc(),
+        "op5_license_scan": licenses.oracle_sql(),
+        "op6_near_duplicates": oracles.near(),
+        "op7_decontamination": oracles.leaks(),
+        "op9_substring_dedup": oracles.substrings(),
+    }

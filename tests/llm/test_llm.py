@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -43,20 +44,28 @@ def test_near(spark, rows):
     assert nearcopies.groups(docs(spark, [])).count() == 0
 
 
-def test_near_long_lists(spark, rows, monkeypatch):
-    for name, least in (("LONG_LIST", 3), ("BLOCK_SETS", 4), ("BLOCK_SHINGLES", 600)):
+def test_near_in_blocks(spark, rows, monkeypatch):
+    """Cells dealt into blocks, and pairs met in several batches."""
+    for name, least in (("CELL_SETS", 3), ("CELL_SHINGLES", 600), ("OFTEN", 4), ("PAIRS", 5)):
         monkeypatch.setattr(nearcopies, name, least)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in nearcopies.groups(docs(spark, rows), 2).collect()}
     assert got == brute.near(rows, 2)
 
 
-def test_overlaps():
+def test_cells():
     rng = np.random.default_rng(4)
-    has = rng.random((60, 300)) < rng.choice([0.02, 0.2, 0.9], 300)
+    sizes = [1, 2, 40, 7]
+    cell = np.repeat(np.arange(4), sizes)
+    t = pa.table({"leader": cell, "cell": np.zeros(50, int), "block": np.zeros(50, int), "rep": np.arange(50), "key": np.arange(50)})
+    has = rng.random((50, 300)) < rng.choice([0.02, 0.2, 0.9], 300)
     row, value = np.nonzero(has)
-    shared = has[:, has.sum(0) > 1].astype(int)
-    assert (nearcopies._overlaps(row, value.astype(np.uint64), 60) == shared @ shared.T).all()
-    assert nearcopies._overlaps(row[:0], value[:0].astype(np.uint64), 3).sum() == 0
+    cells = nearcopies.Cells(t, has.sum(1))
+    a, b, both = cells.overlaps(row, value.astype(np.uint64))
+    shared = has.astype(int) @ has.T.astype(int)
+    assert {(x, y): n for x, y, n in zip(a, b, both)} == {(x, y): shared[x, y] for x in range(50) for y in range(x + 1, 50) if cell[x] == cell[y] and shared[x, y]}
+    assert list(cells.forest(np.array([3, 9, 4]), np.array([4, 10, 5]))[0]) == [4, 5, 10]
+    assert {(x, y) for p, q in cells.pairs(0) for x, y in zip(p, q)} == {(x, y) for x in range(50) for y in range(x + 1, 50) if cell[x] == cell[y]}
+    assert not len(cells.overlaps(row[:0], value[:0].astype(np.uint64))[0])
 
 
 def test_substrings(spark, rows):
@@ -173,3 +182,113 @@ def test_toxicity(spark):
     assert right >= 0.9 * len(held) and (np.diff(model.thresholds) > 0).all()
     none = toxicity.grades(docs(spark, [(1, "a"), (2, None)]), labels.limit(0)).collect()
     assert [r.toxic for r in none] == [False, False]
+
+
+def test_html_reads_what_a_parser_reads():
+    """The words of all runs of a page are those that Python's own parser gives outside silent elements."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.silent = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.silent += tag in html.SILENT
+            self.out.append("")
+
+        def handle_endtag(self, tag):
+            self.silent -= tag in html.SILENT and self.silent > 0
+
+        def handle_data(self, data):
+            if not self.silent:
+                self.out.append(data)
+
+    rng = random.Random(9)
+    for _ in range(60):
+        source, main = html.training_page(rng)
+        plain = Plain()
+        plain.feed(source)
+        runs = [text for _, text, _ in html.parse(source).runs]
+        assert "".join("".join(runs).split()) == "".join("".join(plain.out).split())
+        assert all(m in runs for m in main)
+
+
+def test_html_awkward(spark):
+    body = lambda x: html.parse(f"<article>{x}</article>").runs
+    said = lambda x: [t for _, t, _ in body(x)]
+    assert said("<p>one</p><!--><p>two</p><!---><p>three</p><!-- <p>no</p> --!><p>four</p>") == ["one", "two", "three", "four"]
+    assert said('<p>a<b title="x > y">c</b> <a href=\'">\'>d</a></p>') == ["ac d"] and said("<p>1 < 2 <3</p>") == ["1 < 2 <3"]
+    assert said("<p>&#65;&#0000000000066;&#x43;&#99999999999;&#" + "9" * 5000 + ";&amp;</p>") == ["ABC\ufffd\ufffd&"]
+    assert said('<p>in</p><p x="never closed><p>out</p>') == ["in"]
+    began = __import__("time").time()
+    for bad in ("<a " * 300_000 + '"', "<div>" * 100_000 + "x", "<ul><li>" * 60_000, "<p>" * 200_000, "<button><p>" * 50_000 + "<div></div>" * 50_000, "<!--" * 200_000, "&" * 500_000, "<p x='" * 200_000):
+        html.parse(bad)
+    assert __import__("time").time() - began < 60
+    page = "<article><h1>Head line</h1><p>The text of it, which is long enough. It goes on.</p></article>"
+    frame = spark.createDataFrame([(1, "u", page, "t", 1), (1, "u", page, "t", 1), (2, None, None, "t", 2), (3, "u", "", "t", 3), (4, "u", page + "<p>" + "long text, again. " * 100_000 + "</p>", "t", 4)], "page_id long, url string, html string, text string, n_chars long")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html.digests(frame).collect())
+    assert got[0] == got[1] and "which is long" in got[0][1] and got[2] == (2, "", 0) and got[3] == (3, "", 0) and got[0][2] == len(got[0][1])
+    assert html.digests(frame.limit(0)).count() == 0
+
+
+def test_warc_is_brute_force(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    frame = frame.withColumn("path", frame["url"]).withColumn("record_type", frame["url"])
+    rows = frame.select("page_id", "html").collect()
+    first = {}
+    for r in sorted(rows):
+        first.setdefault(r.html or "", r.page_id)
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(r.page_id, len((r.html or "").encode()), sha(r.html or ""), "response" if first[r.html or ""] == r.page_id else "revisit", None if first[r.html or ""] == r.page_id else first[r.html or ""]) for r in rows]
+    assert sorted(map(str, map(tuple, warc.digests(frame).collect()))) == sorted(map(str, want))
+    assert warc.digests(frame.limit(0)).count() == 0
+
+
+def test_neighbours_repeated_queries(spark):
+    own = [(0, None, 1), (0, [2.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [1.0, 0.1], 1), (1, [1.0, 0.1], 1), (2, [5.0, 0.0], 1)]
+    got = [(r.rank, r.vec_id, r.score) for r in ann.every_hundredth(spark.createDataFrame(own, "vec_id long, embedding array<double>, score int")).orderBy("rank").collect()]
+    assert got == [(1, 1, pytest.approx(0.1)), (2, 1, pytest.approx(0.1)), (3, 2, 4.0)]  # the least of its valid vectors asks
+
+
+def test_awkward_documents(spark):
+    """Empty tables, very long texts, repeated rows, clashing columns."""
+    long = "alpha beta gamma delta " * 60_000
+    rows = [(1, long + "MIT license"), (1, long + "MIT license"), (2, None), (3, "")]
+    frame = spark.createDataFrame([(i, t, 1, 2.0, False, "l") for i, t in rows], "doc_id long, text string, grade int, severity double, toxic boolean, labels string")
+    got = sorted(map(tuple, licenses.digests(frame).collect()))
+    assert got[0] == got[1] and got[0][1:7] == (240_002, 1, 240_000, 240_000, "mit", "mit") and licenses.digests(frame.limit(0)).count() == 0
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    scored = toxicity.score(frame, toxicity.train(frame, labels))
+    assert scored.select("grade", "severity", "toxic").count() == 4 and scored.columns.count("grade") == 1
+    assert toxicity.grades(frame.limit(0), labels).count() == 0
+    bench = spark.createDataFrame([("a", long[:400])], "item_id string, text string")
+    hit = sorted((r.doc_id, r.n_words, r.n_hit) for r in leaks.digests(frame, bench).collect())
+    assert hit == [(1, 240_002, 240_000)] * 2 + [(2, 0, 0), (3, 0, 0)]
+    assert leaks.digests(frame.limit(0), bench).count() == 0 and [r.n_hit for r in leaks.digests(frame, bench.limit(0)).collect()] == [0] * 4
+
+
+def test_leaks_long_items_in_segments(spark, rows, monkeypatch):
+    """An item of several segments counts once, and windows over their borders are found."""
+    monkeypatch.setattr(leaks, "SEGMENT", 7)
+    item = " ".join(f"q{i}" for i in range(60))
+    texts = [(1, item), (2, " ".join(f"q{i}" for i in range(12, 23))), (3, "x " + " ".join(f"q{i}" for i in range(3, 12))), (4, "Q5 q6 q7")]
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "q5 Q6!")], "item_id long, text string")
+    want = brute.leaks(texts, [(1, item), (2, item), (3, "q5 Q6!")])
+    assert {r.doc_id: tuple(r[1:]) for r in leaks.digests(docs(spark, texts), bench).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["op3_warc", "op5_license_scan", "op6_near_duplicates", "op7_decontamination", "op9_substring_dedup"])
+def test_sql(spark, name):
+    import duckdb
+
+    from joinery.llm import queries
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "benchmark", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    rel, got = con.sql(queries.oracle_sql()[name]), queries.queries()[name](spark, sf)
+    names = sorted(got.columns)
+    assert names == sorted(rel.columns)
+    at = [rel.columns.index(c) for c in names]
+    assert sorted(repr(tuple(r[c] for c in names)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
