@@ -1,7 +1,11 @@
 """A cleaning pipeline over ``documents``: five stages, each written as Parquet and read as the next one's input.
 
-All stages but the last return the columns of documents.  A stage's text changes
-n_chars with it.  See each operator in joinery/llm for its method and defined results.
+All stages but the last return the columns of documents, and take these by name, so further columns are left out.
+A stage's text changes n_chars with it; texts that a stage does not cut are passed on as they are, null ones as null.
+In every stage null and empty texts are neither toxic, nor copies, nor hit, and are kept; rows that are equal fare
+equally; rows that share a doc_id but not the text are judged by their own texts, but for near copies, where they are
+one document; a null doc_id is no copy of anything; an empty table gives an empty table; texts may be of any length.
+See each operator in joinery/llm for its method and further defined results.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ _CARRIED = ("lang", "source", "n_chars")
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model does not reject."""
+    """Documents that the ordinal model does not reject; it is trained on labelled documents of ``docs``. Without labels of both classes all stay."""
     docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter(~F.col("toxic")).select(*COLUMNS)
@@ -32,7 +36,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that also start earlier are cut; documents of which nothing is left go."""
+    """Passages that also start earlier are cut, with the white space after them; documents of which no word is left go. Other white space stays."""
     cut = substrings.dedup(docs.select(*COLUMNS), carry=_CARRIED, verbatim=True)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))
     kept = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
@@ -40,14 +44,14 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut; documents that are hit nearly throughout go."""
+    """Benchmark passages are cut; documents of which more than 0.8 of the words are hit go."""
     cut = leaks.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), carry=_CARRIED)
     n_chars = F.coalesce(F.length("text").cast("long"), F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded text."""
+    """doc_id, n_tokens and digests of the ids and of the decoded text; a null text is an empty one."""
     return bpe.digests(docs, _tokenizer())
 
 
@@ -67,5 +71,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The stages' models and automata have no SQL form; tests/llm compares them with brute force.
+#: The toxicity model and the tokenizer have no SQL form; tests/llm/test_pipeline.py compares every stage with brute force.
 ORACLE_SQL = None
