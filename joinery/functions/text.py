@@ -2,11 +2,64 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from . import vocabulary as v
 
+_ROLE = re.compile(r"(?:CAPITAL |SMALL )?(?:LETTER|LIGATURE|VOWEL SIGN|VOWEL|SIGN|DIGIT) (.+)")
+
+
+@lru_cache(maxsize=4096)
+def ascii_of(ch: str) -> str:
+    """ASCII for one character: compatibility forms without marks; else what its Unicode name says.
+
+    Indic letters are consonants with an unwritten a (DEVANAGARI LETTER KA: k), vowels and vowel signs spell
+    themselves, a virama and a nukta are silent, anusvara and candrabindu are n, visarga is h.
+    """
+    if ch < "\x80":
+        return ch
+    out = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+    if out and all(c < "\x80" for c in out):
+        return out
+    found = unicodedata.name(ch, "")
+    if ch.isdecimal():
+        return str(unicodedata.decimal(ch))
+    if any(x in found for x in ("DASH", "HYPHEN")):
+        return "-"
+    if "QUOTATION MARK" in found or "APOSTROPHE" in found:
+        return "'"
+    m = _ROLE.search(found)
+    if not m:
+        return "" if unicodedata.combining(ch) or unicodedata.category(ch) in ("Mn", "Mc", "Cf") else " "
+    said = m[1].split(" WITH ")[0].lower()
+    if "VOWEL" in found or found.startswith("LATIN"):
+        said = {"sharp s": "ss", "thorn": "th", "eth": "d"}.get(said, said)
+    said = {"virama": "", "nukta": "", "anusvara": "n", "candrabindu": "n", "visarga": "h", "avagraha": ""}.get(said, said)
+    said = said.split()[-1] if said else ""
+    if "LETTER" in found and unicodedata.category(ch) == "Lo" and len(said) > 1 and said.endswith("a") and said not in ("aa",):
+        return said[:-1]
+    return said.upper() if "CAPITAL" in found else said
+
+
+@pandas_udf(StringType())
+def _ascii(c: pd.Series) -> pd.Series:
+    known = {x: "".join(map(ascii_of, unicodedata.normalize("NFKC", x))) for x in c.dropna().unique()}
+    return pd.Series([known.get(x) for x in c.tolist()], dtype=object)
+
+
+def to_ascii(c: Column) -> Column:
+    """Transliterated; null is ''.  Only values beyond ASCII go through Python, each distinct one of a batch once."""
+    odd = c.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(_ascii(F.when(odd, c)), c, F.lit(""))
+
 
 def clean(c: Column) -> Column:
     """Lower case, everything but a-z and 0-9 to single spaces, trimmed."""
@@ -14,8 +67,8 @@ def clean(c: Column) -> Column:
 
 
 def scrub(c: Column) -> Column:
-    """Without "(id: 12)" and web parts; & and + as "and"."""
-    low = F.regexp_replace(F.lower(c), r"\(id:\s*\d+\)", " ")
+    """Without "(id: 12)", with or without colon and spaces, and web parts; & and + as "and"."""
+    low = F.regexp_replace(F.lower(c), r"\(\s*id\s*:?\s*\d+\s*\)", " ")
     return F.regexp_replace(F.regexp_replace(low, v.WEB, " "), "[&+]", " and ")
 
 
@@ -34,6 +87,17 @@ def skeleton(c: Column) -> Column:
     return c
 
 
+def skeleton_of(word: str) -> str:
+    """The same of one word, in Python."""
+    for a, b in (("ph", "f"), ("ck", "k"), ("[cq]", "k"), ("z", "s"), (r"\B[aeiouh]", ""), (r"([a-z])\1+", r"\1")):
+        word = re.sub(a, b, word)
+    return word
+
+
+#: Skeletons of legal words, of three letters or more: they are dropped from names' skeletons, so misspelt legal words go as well.
+LEGAL_SKELETONS = sorted({k for k in map(skeleton_of, v.LEGAL) if len(k) >= 3})
+
+
 def folded(c: Column) -> Column:
     """A looser skeleton: bh, x, j and inner y as well."""
     for a, b in (("bh", "v"), ("x", "ks"), ("j", "g"), (r"\By", "")):
@@ -55,9 +119,9 @@ def numbers(address: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(address, F.lit(r"\d+"), F.lit(0)), lambda x: F.ltrim(x, F.lit("0"))), lambda x: (x != "") & (F.length(x) <= 5))
 
 
-def house(address: Column, code: Column) -> Column:
-    """The first short number, or the second if the first is the postcode."""
-    n = numbers(address)
+def house(address: Column, code: Column, units: bool = True) -> Column:
+    """The first short number, or the second if the first is the postcode; without ``units`` numbers of units and mailboxes do not count."""
+    n = numbers(address if units else F.regexp_replace(address, v.UNIT_NUMBER, " "))
     return F.when(F.coalesce(F.get(n, F.lit(0)) == code, F.lit(False)), F.get(n, F.lit(1))).otherwise(F.get(n, F.lit(0)))
 
 
@@ -87,8 +151,38 @@ def canonical_core(c: Column) -> Column:
 
 
 def canonical_address(c: Column) -> Column:
-    plain = F.regexp_replace(F.regexp_replace(c, r"\b(?:unit|apt|suite|ste|po box|flat)\s*\w+", " "), r"\b0+(\d)", "$1")
-    return map_tokens(plain, v.STREET, v.ADDR_DROP)
+    """Without unit, mailbox and number labels; fractions and leading zeros gone; street types, ordinals, states and cities in one form."""
+    for pattern, to in v.ADDR_RULES:
+        c = F.regexp_replace(c, pattern, to)
+    for phrase, code in v.STATE_PHRASES.items():
+        c = F.regexp_replace(c, rf"\b{phrase}\b", code)
+    return map_tokens(c, v.STREET | v.STATE_WORDS, v.ADDR_DROP)
+
+
+def sorted_characters(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(c, "")), "")
+
+
+def derived_name(c: Column) -> Column:
+    """Without runs of seven digits or more and repeated words, look-alike digits as letters; the same again gives the same."""
+    return dedupe(F.regexp_replace(deleet(c, v.DIGIT_FROM, v.DIGIT_TO), r"\b\d{7,}\b", " "))
+
+
+def serialised(name: Column, address: Column) -> Column:
+    """A record as one line for an encoder."""
+    return F.concat(F.lit("[COL] name [VAL] "), F.coalesce(name, F.lit("")), F.lit(" [COL] address [VAL] "), F.coalesce(address, F.lit("")))
+
+
+@pandas_udf(StringType())
+def _plain(c: pd.Series) -> pd.Series:
+    one = lambda t: " ".join(re.findall(r"[^\W_]+", "".join(ch for ch in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(ch))))
+    known = {t: one(t) for t in c.dropna().unique()}
+    return pd.Series([known.get(t) for t in c.tolist()], dtype=object)
+
+
+def profiling_fold(c: Column) -> Column:
+    """Caseless words without marks, of any script; null is ''."""
+    return F.coalesce(_plain(c), F.lit(""))
 
 
 def sorted_tokens(c: Column) -> Column:
@@ -102,6 +196,14 @@ def stable_mod(key: Column, salt: str, k: int) -> Column:
     return F.pmod(F.conv(flipped, 16, 10).cast("decimal(20,0)"), F.lit(k).cast("decimal(20,0)")).cast("int")
 
 
+def word_grams(c: Column, sizes: tuple[int, ...] = (1, 2)) -> Column:
+    """Distinct runs of so many words."""
+    t = tokens(c)
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " ")) if n > 1 else t for n in sizes]  # noqa: B023
+    runs = [F.when(F.size(t) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in zip(sizes, runs, strict=True)]
+    return F.array_distinct(F.flatten(F.array(*runs)))
+
+
 def char_grams(c: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
     """Distinct n-grams of each token padded by one space; a shorter token counts once."""
 

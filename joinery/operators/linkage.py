@@ -15,12 +15,16 @@ from ..functions import vocabulary as v
 BITS = {k: i for i, k in enumerate("ABCDEFGHIJKL")}
 
 
-def normalise(records: DataFrame) -> DataFrame:
-    """id, src, country and the views of name and address, in one projection."""
-    own = records.withColumn("name_norm", x.clean(x.scrub(F.col("business_name")))).withColumn("core", x.drop_words(F.col("name_norm"), v.LEGAL))
-    own = own.withColumn("skel", x.skeleton(F.col("core"))).withColumn("concat", F.regexp_replace("core", " ", ""))
-    own = own.withColumn("addr_norm", x.clean(F.col("business_address"))).withColumn("addr_tok", x.address_tokens(F.col("addr_norm")))
-    own = own.withColumn("postcode", x.postcode(F.col("business_address"))).withColumn("house", x.house(F.col("business_address"), F.col("postcode")))
+def normalise(records: DataFrame, canonical: bool = False) -> DataFrame:
+    """id, src, country and the views of name and address, in one projection; ``canonical`` gives core, addr_norm and house their canonical forms."""
+    own = records.withColumn("_name", F.lower(x.to_ascii(F.col("business_name")))).withColumn("_addr", F.lower(x.to_ascii(F.col("business_address"))))
+    own = own.withColumn("name_norm", x.clean(x.scrub(F.col("_name"))))
+    own = own.withColumn("core", x.canonical_core(F.col("name_norm")) if canonical else x.drop_words(F.col("name_norm"), v.LEGAL))
+    own = own.withColumn("skel", x.drop_words(x.skeleton(F.col("core")), x.LEGAL_SKELETONS)).withColumn("concat", F.regexp_replace("core", " ", ""))
+    own = own.withColumn("addr_norm", x.clean(F.col("_addr")))
+    own = own.withColumn("addr_norm", x.canonical_address(F.col("addr_norm"))) if canonical else own
+    own = own.withColumn("addr_tok", x.address_tokens(F.col("addr_norm")))
+    own = own.withColumn("postcode", x.postcode(F.col("_addr"))).withColumn("house", x.house(F.col("_addr"), F.col("postcode"), units=not canonical))
     return own.select(F.col("entity_id").alias("id"), "src", "country", "name_norm", "core", "skel", "concat", "addr_norm", "addr_tok", "postcode", "house")
 
 
@@ -60,11 +64,38 @@ def blocking_keys(records: DataFrame, rescue: bool = False) -> DataFrame:
 
 
 def numeric_keys(records: DataFrame) -> DataFrame:
-    """id, src, kind, key: J country, a number of the address and a name token of two letters or more."""
-    number = F.array_distinct(x.numbers(F.col("addr_norm")))
-    own = records.select("id", "src", "country", F.explode(number).alias("num"), "core")
-    own = own.withColumn("tok", F.explode(F.filter(F.array_distinct(x.tokens(F.col("core"))), lambda t: F.length(t) >= 2)))
-    return own.select("id", "src", F.lit("J").alias("kind"), F.concat("country", F.lit("|"), "num", F.lit("|"), "tok").alias("key")).distinct()
+    """id, src, kind, key: country, a number and every token of two letters or more: J house and name skeleton, K house and address token, L postcode and name skeleton."""
+    out = None
+    for kind, view, number in (("J", "skel", "house"), ("K", "addr_tok", "house"), ("L", "skel", "postcode")):
+        own = records.filter(F.coalesce(number, F.lit("")) != "").select("id", "src", "country", F.col(number).alias("num"), F.explode(F.array_distinct(x.tokens(F.col(view)))).alias("tok")).filter(F.length("tok") >= 2)
+        one = own.select("id", "src", F.lit(kind).alias("kind"), F.concat("country", F.lit("|"), "num", F.lit("|"), "tok").alias("key"))
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+def alternative_keys(records: DataFrame) -> DataFrame:
+    """id, src, kind, key: H two rarest address tokens, I postcode and rarest, J second and house, K first skeleton token and house, L house, first letter and last address token."""
+    places = rarest(records, "addr_tok", 2).toDF("id", "a1", "a2")
+    own = records.join(places, "id", "left")
+    c, given = F.col, lambda n: F.nullif(F.col(n), F.lit(""))
+    first, last = F.get(x.tokens(c("skel")), F.lit(0)), F.try_element_at(x.tokens(c("addr_tok")), F.lit(-1))
+    keys = [
+        _key("H", c("a1"), c("a2")), _key("I", given("postcode"), c("a1")), _key("J", c("a2"), given("house")), F.when(F.length(first) >= 2, _key("K", first, given("house"))),
+        F.when((F.length(last) >= 2) & (F.length("concat") >= 1), _key("L", given("house"), F.substring("concat", 1, 1), last)),
+    ]
+    return own.select("id", "src", F.explode(F.array(*keys)).alias("k")).select("id", "src", "k.kind", "k.key").filter("key is not null").distinct()
+
+
+#: Channels of retrieval by cosine: view, characters or words, sizes of grams, greatest share of targets that may hold a gram, and how many are kept.
+CHANNELS = {
+    "name_char": ("core", True, (3, 4), 0.03, 20), "address_char": ("addr_norm", True, (3, 4), 0.03, 40), "name_fold": ("name_fold", False, (1, 2), 0.05, 10),
+    "address_fold": ("address_fold", False, (1, 2), 0.05, 10), "combo": ("combo", True, (3, 4), 0.03, 40), "combo_word": ("combo", False, (1, 2), 0.05, 60),
+}
+
+
+def channel_views(records: DataFrame) -> DataFrame:
+    """Records with the views that channels read."""
+    return records.withColumns({"name_fold": x.folded(F.col("core")), "address_fold": x.folded(F.col("addr_tok")), "combo": F.concat("core", F.lit(" "), "addr_norm")})
 
 
 def _rules(spark, types: dict[str, tuple[int, int]]) -> DataFrame:
@@ -87,8 +118,9 @@ def candidates(keys: DataFrame, types: dict[str, tuple[int, int]] = v.KEYS, top:
     return scored.withColumn("rn", rank).filter(F.col("rn") <= top).drop("rn")
 
 
-def grams(records: DataFrame, view: str, char: bool) -> DataFrame:
-    own = x.char_grams(F.col(view)) if char else F.array_distinct(x.tokens(F.col(view)))
+def grams(records: DataFrame, view: str, char: bool, sizes: tuple[int, ...] | None = None) -> DataFrame:
+    """id, src, country, g: distinct character grams of padded tokens, or words (and with sizes runs of words)."""
+    own = x.char_grams(F.col(view), sizes or (3, 4)) if char else x.word_grams(F.col(view), sizes or (1,))
     return records.select("id", "src", "country", F.explode(own).alias("g"))
 
 
@@ -100,21 +132,21 @@ def idf(postings: DataFrame, max_df: float) -> DataFrame:
     return df.filter(F.col("df") <= F.col("n") * max_df).select("country", "g", (1 + F.log((1 + F.col("n")) / (1 + F.col("df")))).alias("idf"))
 
 
-def unit_postings(records: DataFrame, view: str, char: bool, max_df: float) -> DataFrame:
+def unit_postings(records: DataFrame, view: str, char: bool, max_df: float, sizes: tuple[int, ...] | None = None) -> DataFrame:
     """id, src, country, g, w: the grams of each record weighted by IDF, to length 1."""
-    postings = grams(records, view, char)
+    postings = grams(records, view, char, sizes)
     weighted = postings.join(idf(postings, max_df), ["country", "g"])
     norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
     return weighted.join(norm, "id").select("id", "src", "country", "g", (F.col("idf") / F.col("norm")).alias("w"))
 
 
-def cosine_top(records: DataFrame, view: str, char: bool = False, max_df: float = 0.05, top: int = 5, reverse: bool = False) -> DataFrame:
+def cosine_top(records: DataFrame, view: str, char: bool = False, max_df: float = 0.05, top: int = 5, reverse: bool = False, sizes: tuple[int, ...] | None = None) -> DataFrame:
     """q, t, cos, rn: each query's best by IDF cosine, within a country and a target source.
 
     An inverted-index join: common grams are cut before it, so lists are bounded by max_df; products
     are added up on the map side first, and row_number() <= top plans as a group limit on both sides.
     """
-    unit = unit_postings(records, view, char, max_df)
+    unit = unit_postings(records, view, char, max_df, sizes)
     q, t = (unit.filter("src > 1"), unit.filter("src = 1")) if reverse else (unit.filter("src = 1"), unit.filter("src > 1"))
     hits = q.select(F.col("id").alias("q"), "country", "g", F.col("w").alias("wq")).join(t.select(F.col("id").alias("t"), F.col("src").alias("tsrc"), "country", "g", "w"), ["country", "g"])
     scored = hits.groupBy("q", "t", "tsrc").agg(F.round(F.sum(F.col("wq") * F.col("w")), 6).alias("cos"))
@@ -122,6 +154,16 @@ def cosine_top(records: DataFrame, view: str, char: bool = False, max_df: float
     return scored.withColumn("rn", rank).filter(F.col("rn") <= top).drop("tsrc")
 
 
+def channels(records: DataFrame, names: tuple[str, ...] = tuple(CHANNELS), scale: int = 1) -> DataFrame:
+    """q, t and a cosine a named channel, of all pairs that one of them finds; ``scale`` divides how many each keeps."""
+    own = channel_views(records)
+    found = {}
+    for name in names:
+        view, char, sizes, max_df, top = CHANNELS[name]
+        found[name] = cosine_top(own, view, char, max_df, max(1, top // scale), sizes=sizes)
+    return channel_union(found)
+
+
 def channel_union(channels: dict[str, DataFrame]) -> DataFrame:
     """q, t and a cosine column a channel, 0 where it did not find the pair."""
     long = None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text as x
 from ..functions import vocabulary as v
-from ..operators import decide, linkage
+from ..operators import decide, evaluate, linkage
 from ..sources import records as src
 from . import sql
 
@@ -27,10 +27,13 @@ def _query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import evaluation_queries, feature_queries  # noqa: F401 - they register themselves
+
     return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: s for k, (_, s) in _found.items() if s is not None}
 
 
@@ -83,12 +86,12 @@ def _views(s, d):
     return norm(s, d).select("id", x.deleet(F.col("name_norm")).alias("deleet"), x.folded(F.col("core")).alias("folded"), x.sorted_tokens(F.col("name_norm")).alias("sorted_name"), F.concat("core", F.lit(" "), "addr_norm").alias("combo"))
 
 
-@_query("canonical_views")
+@_query("canonical_views", sql.upto("records", sql.CANONICAL) + f"select id, core, addr_norm address, {sql._deleet('name_norm', v.DIGIT_FROM, v.DIGIT_TO)} fixed from cnorm")
 def _canonical(s, d):
     return norm(s, d).select("id", x.canonical_core(F.col("name_norm")).alias("core"), x.canonical_address(F.col("addr_norm")).alias("address"), x.deleet(F.col("name_norm"), v.DIGIT_FROM, v.DIGIT_TO).alias("fixed"))
 
 
-@_query("stable_hash_mod")
+@_query("stable_hash_mod", sql.upto("norm") + f"select id, {sql.stable_mod('id', 'fold', 5)} fold from norm")
 def _stable(s, d):
     return norm(s, d).select("id", x.stable_mod(F.col("id"), "fold", 5).alias("fold"))
 
@@ -108,7 +111,7 @@ def _keys(s, d):
     return linkage.blocking_keys(norm(s, d))
 
 
-@_query("numeric_keys", sql.upto("norm") + f"select distinct id, src, 'J' kind, country || '|' || num || '|' || tok as key from (select id, src, country, core, unnest(list_distinct({sql.NUMS.format('addr_norm')})) num from norm) n, lateral (select unnest(list_filter({sql._tokens('core')}, lambda t: length(t) >= 2)) tok) u")
+@_query("numeric_keys", sql.upto("norm", sql.NUMERIC) + "select distinct id, src, kind, key from nkeys")
 def _numeric(s, d):
     return linkage.numeric_keys(norm(s, d))
 
@@ -128,18 +131,16 @@ def _cand_rescue(s, d):
     return linkage.candidates(linkage.blocking_keys(norm(s, d), rescue=True), v.RESCUE_KEYS)
 
 
-@_query("blocking_report", sql.upto("truth") + "select country, count(*) links, cast(sum(hit) as bigint) found from (select q.country, case when c.t is null then 0 else 1 end hit from truth left join cand c using (s1, t) join norm q on q.id = s1) group by country")
+@_query("blocking_report", sql.upto("truth", "ent as (select id s1, country from norm where src = 1)") + """select country, cast(sum(coalesce(l, 0)) as bigint) links, cast(sum(coalesce(f, 0)) as bigint) found, round(avg(coalesce(n, 0)), 6) pairs_per_entity, round(avg(case when n is null then 1 else 0 end), 6) none_share, quantile_cont(coalesce(n, 0), 0.95) pairs_p95
+from ent left join (select s1, count(*) n from cand group by 1) using (s1) left join (select s1, count(*) l, count(c.t) f from truth left join cand c using (s1, t) group by 1) using (s1) group by country""")
 def _report(s, d):
-    hit = cand(s, d).select("s1", "t", F.lit(1).alias("hit"))
-    own = truth(s, d).join(hit, ["s1", "t"], "left").join(entities(s, d), "s1")
-    return own.groupBy("country").agg(F.count("*").alias("links"), F.sum(F.coalesce("hit", F.lit(0))).alias("found"))
+    return evaluate.blocking_report(entities(s, d), cand(s, d), truth(s, d))
 
 
-@_query("missed_by_key", sql.upto("truth") + "select k.kind, count(distinct m.s1 || m.t) shared from (select s1, t from truth) m join keys k on k.id = m.s1 join keys u on u.id = m.t and u.kind = k.kind and u.key = k.key group by k.kind")
+@_query("missed_by_key", sql.upto("truth") + "select k.kind, count(distinct m.s1 || m.t) shared from (select s1, t from truth anti join cand using (s1, t)) m join keys k on k.id = m.s1 join keys u on u.id = m.t and u.kind = k.kind and u.key = k.key group by k.kind")
 def _missed(s, d):
     keys = linkage.blocking_keys(norm(s, d))
-    own = truth(s, d).join(keys.select(F.col("id").alias("s1"), "kind", "key"), "s1").join(keys.select(F.col("id").alias("t"), "kind", "key"), ["t", "kind", "key"])
-    return own.groupBy("kind").agg(F.count_distinct("s1", "t").alias("shared"))
+    return evaluate.missed_by_key(truth(s, d), linkage.candidates(keys), keys)
 
 
 @_query("idf_table", sql.upto("norm", sql.cosine(sql.WORDS, "w", 0.05, 5)) + "select country, g, round(idf, 6) idf from widf")
@@ -198,8 +199,7 @@ def _jw(s, d):
 
 @_query("fuzzy_ratios")
 def _ratios(s, d):
-    c = F.col
-    return _pairs(s, d).select("s1", "t", sim.ratio("qc", "tc").alias("ratio"), sim.partial_ratio("qc", "tc").alias("partial"), sim.token_sort_ratio(c("qc"), c("tc")).alias("token_sort"), sim.token_set_ratio(c("qc"), c("tc")).alias("token_set"))
+    return _pairs(s, d).select("s1", "t", sim.ratio("qc", "tc").alias("ratio"), sim.partial_ratio("qc", "tc").alias("partial"), sim.token_sort_ratio("qc", "tc").alias("token_sort"), sim.token_set_ratio("qc", "tc").alias("token_set"))
 
 
 @_query("embedding_cosine", "select a.vec_id a, b.vec_id b, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) cos from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id < 200 and b.vec_id < 200")

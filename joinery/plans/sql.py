@@ -6,7 +6,7 @@ import string
 
 from ..functions import vocabulary as v
 from ..operators.decide import GRID
-from ..operators.linkage import BITS
+from ..operators.linkage import BITS, CHANNELS
 from ..sources.records import BASE_SQL, RECORDS_SQL
 
 
@@ -41,10 +41,43 @@ def _drop(c: str, words) -> str:
     return f"array_to_string(list_filter(string_split({c}, ' '), lambda t: t <> '' and t not in ({_list(words)})), ' ')"
 
 
-SCRUB = _sub("lower(business_name)", (r"\(id:\s*\d+\)", " "), (v.WEB, " "), ("[&+]", " and "))
+#: Accents of the fixture are Latin ones.
+NAME, ADDRESS = "lower(strip_accents(coalesce(business_name, '')))", "lower(strip_accents(coalesce(business_address, '')))"
+SCRUB = _sub(NAME, (r"\(\s*id\s*:?\s*\d+\s*\)", " "), (v.WEB, " "), ("[&+]", " and "))
+#: Skeletons of legal words, from the rules in SQL itself.
+LEGAL_SKELETONS = f"(select list(distinct k) ks from (select {_skeleton('w')} k from (select unnest([{_list(v.LEGAL)}]) w)) where length(k) >= 3)"
+
+
+def _skeletons(c: str) -> str:
+    """Needs ``ks`` in scope."""
+    return f"array_to_string(list_filter(string_split({_skeleton(c)}, ' '), lambda t: t <> '' and not list_contains(ks, t)), ' ')"
+
+
 NUMS = r"list_filter(list_transform(regexp_extract_all({0}, '\d+'), lambda x: ltrim(x, '0')), lambda x: x <> '' and length(x) <= 5)"
-LEET = f"translate(t, '{v.LEET_FROM}', '{v.LEET_TO}')"
-DELEET = f"array_to_string(list_transform({_tokens('name_norm')}, lambda t: case when length(regexp_replace(t, '[^0-9]', '', 'g')) > 0 and length(regexp_replace(t, '[^a-z]', '', 'g')) >= 2 and length(regexp_replace(t, '[^a-z]', '', 'g')) >= length(regexp_replace(t, '[^0-9]', '', 'g')) and not regexp_matches(t, '^[0-9]+(st|nd|rd|th)$') then {LEET} else t end), ' ')"
+
+
+def _deleet(c: str, of: str = v.LEET_FROM, to: str = v.LEET_TO) -> str:
+    letters, digits = "length(regexp_replace(t, '[^a-z]', '', 'g'))", "length(regexp_replace(t, '[^0-9]', '', 'g'))"
+    return f"array_to_string(list_transform({_tokens(c)}, lambda t: case when {digits} > 0 and {letters} >= 2 and {letters} >= {digits} and not regexp_matches(t, '^[0-9]+(st|nd|rd|th)$') then translate(t, '{of}', '{to}') else t end), ' ')"
+
+
+def _dedupe(c: str) -> str:
+    """The first of equal tokens."""
+    return f"array_to_string(list_transform(list_filter(list_zip({_tokens(c)}, range(1, len({_tokens(c)}) + 1)), lambda e: list_position({_tokens(c)}, e[1]) = e[2]), lambda e: e[1]), ' ')"
+
+
+def derived(c: str) -> str:
+    return _dedupe(_sub(_deleet(c, v.DIGIT_FROM, v.DIGIT_TO), (r"\b\d{7,}\b", " ")))
+
+
+def _canonical_address(c: str) -> str:
+    c = _sub(c, *[(a, b.replace("$", "\\")) for a, b in v.ADDR_RULES], *[(rf"\b{a}\b", b) for a, b in v.STATE_PHRASES.items()])
+    names = v.STREET | v.STATE_WORDS
+    table = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in names.items()) + "}"
+    return f"array_to_string(list_transform(list_filter({_tokens(c)}, lambda t: t not in ({_list(v.ADDR_DROP)})), lambda t: coalesce({table}[t], t)), ' ')"
+
+
+DELEET = _deleet("name_norm")
 
 _weights = " union all ".join(f"select '{k}' kind, {w} weight, {c} cap, {1 << BITS[k]} bit" for k, (w, c) in v.KEYS.items())
 _rescue = " union all ".join(f"select '{k}' kind, {w} weight, {c} cap, {1 << BITS[k]} bit" for k, (w, c) in v.RESCUE_KEYS.items())
@@ -72,9 +105,19 @@ def _grams(view: str) -> str:
     return f"list_distinct(flatten(list_transform({_tokens(view)}, lambda t: {one})))"
 
 
-def cosine(grams: str, p: str, max_df: float, top: int, reverse: bool = False) -> str:
+def _word_grams(view: str, sizes: tuple[int, ...]) -> str:
+    t = _tokens(view)
+    return f"list_distinct(flatten([{', '.join(f'list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n - 1}], {chr(39)} {chr(39)}))' for n in sizes)}]))"
+
+
+def channel_grams(name: str) -> str:
+    view, char, sizes, _, _ = CHANNELS[name]
+    return _grams(view) if char else _word_grams(view, sizes)
+
+
+def cosine(grams: str, p: str, max_df: float, top: int, reverse: bool = False, table: str = "norm") -> str:
     q, t = ("src > 1", "src = 1") if reverse else ("src = 1", "src > 1")
-    return f"""{p}post as (select id, src, country, unnest({grams}) g from norm), {p}tot as (select country, count(distinct id) n from {p}post where src > 1 group by country),
+    return f"""{p}post as (select id, src, country, unnest({grams}) g from {table}), {p}tot as (select country, count(distinct id) n from {p}post where src > 1 group by country),
 {p}idf as (select country, g, 1 + ln((1 + max(n)) / (1 + count(*))) idf from {p}post join {p}tot using (country) where src > 1 group by country, g having count(*) <= max(n) * {max_df}),
 {p}wt as (select id, src, country, g, idf from {p}post join {p}idf using (country, g)), {p}nrm as (select id, sqrt(sum(idf * idf)) nm from {p}wt group by id),
 {p}unit as (select id, src, country, g, idf / nm w from {p}wt join {p}nrm using (id)),
@@ -85,10 +128,10 @@ def cosine(grams: str, p: str, max_df: float, top: int, reverse: bool = False) -
 CTES = [
     ("base", f"base as ({BASE_SQL})"),
     ("records", f"records as ({RECORDS_SQL})"),
-    ("norm", rf"""norm0 as (select entity_id id, src, country, business_address adr, {_clean(SCRUB)} name_norm, {_clean("business_address")} addr_norm,
-ltrim(nullif(regexp_extract(case when strpos(business_address, ',') > 0 then substr(business_address, strpos(business_address, ',') + 1) end, '\b\d{{5,6}}\b'), ''), '0') postcode, {NUMS.format("business_address")} nums from records),
+    ("norm", rf"""norm0 as (select entity_id id, src, country, adr, {_clean(SCRUB)} name_norm, {_clean("adr")} addr_norm,
+ltrim(nullif(regexp_extract(case when strpos(adr, ',') > 0 then substr(adr, strpos(adr, ',') + 1) end, '\b\d{{5,6}}\b'), ''), '0') postcode, {NUMS.format("adr")} nums from (select *, {ADDRESS} adr from records)),
 norm1 as (select *, {_drop("name_norm", v.LEGAL)} core, array_to_string(list_filter(string_split(addr_norm, ' '), lambda t: regexp_matches(t, '^[a-z]{{3,}}$') and t not in ({_list(v.ADDR_STOP)})), ' ') addr_tok, case when nums[1] = postcode then nums[2] else nums[1] end house from norm0),
-norm as (select id, src, country, name_norm, core, {_skeleton("core")} skel, replace(core, ' ', '') as concat, addr_norm, addr_tok, postcode, house from norm1)"""),
+norm as (select id, src, country, name_norm, core, {_skeletons("core")} skel, replace(core, ' ', '') as concat, addr_norm, addr_tok, postcode, house from norm1, {LEGAL_SKELETONS})"""),
     ("kb", f"{_rarest('skel', 'n')}, {_rarest('addr_tok', 'a')}, kb as (select norm.*, n1, n2, n3, a1, a2, a3 from norm left join nwide using (id) left join awide using (id))"),
     ("keys", f"keys as (select * from ({_keys}) where key is not null)"),
     ("cand", _candidates("keys", _weights)),
@@ -113,7 +156,23 @@ def upto(name: str, *more: str) -> str:
     raise KeyError(name)
 
 
+def stable_mod(key: str, salt: str, k: int) -> str:
+    """The first 8 bytes of SHA-256(salt + key), little-endian, modulo k."""
+    h = f"sha256('{salt}' || {key})"
+    return f"cast(list_sum(list_transform(range(0, 8), lambda i: cast('0x' || substr({h}, 2 * i + 1, 2) as hugeint) * cast(256 ** i as hugeint))) % {k} as int)"
+
+
 GRID_SQL = ", ".join(str(x) for x in GRID)
 RESCUE = f"rkeys as (select * from ({_keys} union {_more}) where key is not null), {_candidates('rkeys', _rescue, 'r')}"
 CHAR_GRAMS = _grams("name_norm")
 WORDS = f"list_distinct({_tokens('name_norm')})"
+VIEWS = f"vnorm as (select *, {_folded('core')} name_fold, {_folded('addr_tok')} address_fold, core || ' ' || addr_norm combo from norm)"
+_numeric = " union all ".join(f"select '{k}' kind, {w} weight, {c} cap, {1 << BITS[k]} bit" for k, (w, c) in v.NUMERIC_KEYS.items())
+NUMERIC = "nkeys as (" + " union ".join(
+    f"select id, src, '{k}' kind, country || '|' || num || '|' || tok as key from (select id, src, country, {n} num, unnest({_tokens(view)}) tok from norm where coalesce({n}, '') <> '') where length(tok) >= 2" for k, view, n in (("J", "skel", "house"), ("K", "addr_tok", "house"), ("L", "skel", "postcode"))
+) + "), " + _candidates("nkeys", _numeric, "j")
+#: The records in canonical form: names without aliases, with letters for digits; addresses in one form; house numbers without units.
+CANONICAL = rf"""cn0 as (select entity_id id, src, country, adr, {_clean(SCRUB)} name_norm, {_canonical_address(_clean("adr"))} addr_norm,
+ltrim(nullif(regexp_extract(case when strpos(adr, ',') > 0 then substr(adr, strpos(adr, ',') + 1) end, '\b\d{{5,6}}\b'), ''), '0') postcode, {NUMS.format(_sub("adr", (v.UNIT_NUMBER, " ")))} nums from (select *, {ADDRESS} adr from records)),
+cn1 as (select *, {_drop(_deleet(_sub("name_norm", (v.ALIAS, ""))), v.LEGAL + v.HONORIFIC)} core0, array_to_string(list_filter(string_split(addr_norm, ' '), lambda t: regexp_matches(t, '^[a-z]{{3,}}$') and t not in ({_list(v.ADDR_STOP)})), ' ') addr_tok, case when nums[1] = postcode then nums[2] else nums[1] end house from cn0),
+cn2 as (select *, {_dedupe("core0")} core from cn1), cnorm as (select *, {_skeletons("core")} skel, replace(core, ' ', '') as concat from cn2, {LEGAL_SKELETONS})"""

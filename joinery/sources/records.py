@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from . import store
+
 RAW = StructType([StructField(c, StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = StructType([StructField(c, StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
 
-#: Records made from customers, in SQL of both engines.  Source 2 also has decoys: a neighbouring house and another word.
+#: Records made from customers, in SQL of both engines: accents, record ids in brackets, misspelt legal words, digits for letters,
+#: web names, units, nulls and empty addresses.  Source 2 also has decoys: a neighbouring house and another word.
 RECORDS_SQL = """
-select concat('S1-', cast(k as varchar(12))) entity_id, concat(nm, ' Inc') business_name, ad business_address, country, 1 src from base
-union all select concat('S2-', cast(k as varchar(12))), upper(concat(case when k % 4 = 1 then replace(nm, 'e', '3') else nm end, ' LLC')), ad, country, 2 from base where k % 3 <> 0
+select concat('S1-', cast(k as varchar(12))) entity_id, concat(nm, case when k % 17 = 0 then ' & Sons ( ID 12 ) Inc' else ' Inc' end) business_name, ad business_address, country, 1 src from base
+union all select concat('S2-', cast(k as varchar(12))), upper(concat(case when k % 4 = 1 then replace(nm, 'e', '3') when k % 11 = 0 then replace(nm, 'e', 'é') else nm end, case when k % 7 = 1 then ' Companny LLC' when k % 7 = 2 then ' (id: 7) LLC' else ' LLC' end)), case when k % 9 = 4 then concat('Unit 7, ', ad) else ad end, country, 2 from base where k % 3 <> 0
 union all select concat('S2-', cast(k + 10000000 as varchar(12))), concat('Alder ', seg, ' ', cast(k as varchar(12)), ' LLC'), replace(ad, cast(100 + k % 900 as varchar(12)), cast(101 + k % 900 as varchar(12))), country, 2 from base where k % 5 = 0
-union all select concat('S3-', cast(k as varchar(12))), replace(concat(nm, ' Corp'), 'r', 'rr'), case when k % 7 = 0 then '' else upper(ad) end, country, 3 from base where k % 2 = 0
+union all select concat('S3-', cast(k as varchar(12))), replace(concat(case when k % 13 = 0 then 'www.' else '' end, nm, ' Corp'), 'r', 'rr'), case when k % 7 = 0 then '' when k % 19 = 0 then null else replace(upper(ad), 'CEDAR', 'CÈDAR') end, country, 3 from base where k % 2 = 0
 """
 BASE_SQL = """
 select c_custkey k, concat('N', cast(c_nationkey % 3 as varchar(4))) country, c_mktsegment seg,
@@ -61,9 +64,10 @@ def explode_truth(truth: DataFrame) -> DataFrame:
 
 
 def row_ids(records: DataFrame) -> DataFrame:
-    """A dense number by (src, entity_id), from counts of ranges: no single-task window."""
+    """A dense number by (src, entity_id), from counts of ranges: no single-task window.  The ranges are written once, so counts and ranks agree."""
     order = ["src", "entity_id"]
-    placed = records.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = records.repartitionByRange(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    placed = store.written(ranged.withColumn("_part", F.spark_partition_id()), "ranges")
     before = placed.groupBy("_part").count().withColumn("_base", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return placed.join(before.select("_part", F.coalesce("_base", F.lit(0)).alias("_base")), "_part").withColumn("row", F.col("_base") + rank - 1).drop("_part", "_base")
@@ -80,5 +84,13 @@ def matching_lists(entities: DataFrame, matches: DataFrame, by: str = "id") -> D
     return joined.select(F.col("entity_id").alias("source1_entity_id"), F.coalesce("ids", F.lit("")).alias("matched_entity_ids"))
 
 
+def checked_lists(entities: DataFrame, matches: DataFrame, by: str = "id") -> DataFrame:
+    """Matching lists of distinct pairs; fails if an entity has not exactly one row."""
+    out = matching_lists(entities, matches.dropDuplicates(["s1", "t"]), by)
+    rows = out.groupBy("source1_entity_id").agg(F.count("*").alias("_n"))
+    ids = F.when(F.col("_n") == 1, F.col("matched_entity_ids")).otherwise(F.raise_error(F.lit("an entity has several rows")))
+    return out.join(rows, "source1_entity_id").select("source1_entity_id", ids.alias("matched_entity_ids"))
+
+
 def write_tsv(frame: DataFrame, path: str) -> None:
     frame.write.csv(path, sep="\t", quote="", escape="", header=True, emptyValue="")
