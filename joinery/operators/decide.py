@@ -26,8 +26,8 @@ def context(pairs: DataFrame, *columns: str) -> DataFrame:
 def anchors(pairs: DataFrame, top: int = 3) -> DataFrame:
     """s1, t, anc_best, anc_n: support from the ``top`` best other candidates of the same s1; -1 if there is none."""
     rank = F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("p"), "t"))
-    best = pairs.withColumn("rn", rank).filter(F.col("rn") <= top).select("s1", F.col("t").alias("o"), F.col("p").alias("po"))
-    joined = pairs.join(best, (pairs["s1"] == best["s1"]) & (pairs["t"] != best["o"]), "left").drop(best["s1"])
+    best = pairs.withColumn("rn", rank).filter(F.col("rn") <= top).select(F.col("s1").alias("q"), F.col("t").alias("o"), F.col("p").alias("po"))
+    joined = pairs.join(best, (F.col("s1") == F.col("q")) & (F.col("t") != F.col("o")), "left")
     return joined.groupBy("s1", "t").agg(F.coalesce(F.max("po"), F.lit(-1.0)).alias("anc_best"), F.count("o").alias("anc_n"))
 
 

@@ -110,7 +110,7 @@ def ensemble(scores: list[DataFrame]) -> DataFrame:
     long = None
     for one in scores:
         long = one.select("s1", "t", "p") if long is None else long.unionByName(one.select("s1", "t", "p"))
-    return long.groupBy("s1", "t").agg(F.when(F.count("*") == len(scores), F.round(F.avg("p"), 6)).alias("p"))
+    return long.groupBy("s1", "t").agg(F.when(F.count("*") == len(scores), F.round(F.avg("p"), 7)).alias("p"))
 
 
 def save(spark: SparkSession, model: GBTClassificationModel, features: list[str], path: str) -> str:

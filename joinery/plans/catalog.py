@@ -12,6 +12,7 @@ from ..functions import text as x
 from ..functions import vocabulary as v
 from ..operators import decide, evaluate, linkage
 from ..sources import records as src
+from ..sources import store
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +38,15 @@ def oracle_sql() -> dict[str, str]:
     return {k: s for k, (_, s) in _found.items() if s is not None}
 
 
-def norm(s: SparkSession, d: str) -> DataFrame:
+def fresh(s: SparkSession, d: str) -> DataFrame:
     return linkage.normalise(src.fixture(s, d))
 
 
+def norm(s: SparkSession, d: str) -> DataFrame:
+    """The normalised records, written once: every plan reads them several times."""
+    return store.cached(s, f"{d}/customer.parquet", {"normalise": 4}, lambda: fresh(s, d))
+
+
 def entities(s: SparkSession, d: str) -> DataFrame:
     return norm(s, d).filter("src = 1").select(F.col("id").alias("s1"), "country")
 
@@ -72,7 +78,7 @@ def per_entity(s: SparkSession, d: str) -> DataFrame:
 
 
 _query("records", sql.upto("records") + "select * from records")(src.fixture)
-_query("normalised", sql.upto("norm") + "select * from norm")(norm)
+_query("normalised", sql.upto("norm") + "select * from norm")(fresh)
 _query("truth_pairs", sql.upto("truth") + "select * from truth")(truth)
 
 
@@ -172,7 +178,7 @@ def _reverse(s, d):
 
 @_query("reverse_features")
 def _reverse_features(s, d):
-    return linkage.reverse_features(cand(s, d), norm(s, d), "name_norm", max_df=0.3)
+    return linkage.reverse_features(store.written(cand(s, d), "pairs"), norm(s, d), "name_norm", max_df=0.3)
 
 
 _TWO = "select s1, t, q.core qc, u.core tc, q.addr_norm qa, u.addr_norm ta, q.house qh, u.house th from cand join norm q on q.id = s1 join norm u on u.id = t"
@@ -202,7 +208,7 @@ def _ratios(s, d):
     return _pairs(s, d).select("s1", "t", sim.ratio("qc", "tc").alias("ratio"), sim.partial_ratio("qc", "tc").alias("partial"), sim.token_sort_ratio("qc", "tc").alias("token_sort"), sim.token_set_ratio("qc", "tc").alias("token_set"))
 
 
-@_query("embedding_cosine", "select a.vec_id a, b.vec_id b, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) cos from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id < 200 and b.vec_id < 200")
+@_query("embedding_cosine", "select a.vec_id a, b.vec_id b, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) cos from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id")
 def _embedding(s, d):
     return linkage.label_cosines(s.read.parquet(f"{d}/embeddings.parquet"))
 
@@ -308,13 +314,13 @@ def _lists(s, d):
 mi as (select * from pa except select * from pb), ex as (select * from pb except select * from pa)""") + """select x, y, n from (select *, row_number() over (partition by x order by n desc, y) rn from (select ex.tok x, mi.tok y, count(*) n, max(nx) nx, max(ny) ny from ex join mi using (s1, t)
 join (select tok, count(*) nx from ex group by 1) a on a.tok = ex.tok join (select tok, count(*) ny from mi group by 1) b on b.tok = mi.tok group by 1, 2) where n >= 3 and n >= 0.2 * (nx + ny - n)) where rn = 1""")
 def _translit(s, d):
-    return linkage.learn_transliteration(matched(s, d), norm(s, d))
+    return linkage.learn_transliteration(store.written(matched(s, d), "matched"), norm(s, d))
 
 
 @_query("transliteration_applied")
 def _applied(s, d):
     own = norm(s, d)
-    return linkage.apply_dictionary(own, linkage.learn_transliteration(matched(s, d), own))
+    return linkage.apply_dictionary(own, linkage.learn_transliteration(store.written(matched(s, d), "matched"), own))
 
 
 @_query("violations")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decide, evaluate, features, learning
-from ..sources import records as src
+from ..sources import store
 from . import sql
 from .catalog import _query, cand, entities, matched, norm, per_entity, scored, truth
 
@@ -26,7 +26,7 @@ from ({grid}) cross join perent e left join owned o using (s1) left join truth u
         f"fine as (select theta, round(avg({_f('n', 'tp', 'g')}), 6) macro_f from ({_sweep('select distinct round(t0 + 0.0025 * i, 4) theta from top, (select unnest(range(-8, 9)) i) where t0 + 0.0025 * i between 0.05 and 0.995')}) group by theta)")
         + "select cast(theta as double) theta, macro_f, (row_number() over (order by macro_f desc, theta)) = 1 as best from fine")
 def _fine(s, d):
-    return evaluate.fine_sweep(entities(s, d), scored(s, d), truth(s, d))
+    return evaluate.fine_sweep(entities(s, d), store.written(scored(s, d), "scored"), truth(s, d))
 
 
 _SLICE = f"per as ({_sweep(f'select unnest([{sql.GRID_SQL}]) theta')}), bests as (select * from (select country, theta, macro_f, row_number() over (partition by country order by macro_f desc, theta) rn from (select country, cast(theta as double) theta, round(avg({_f('n', 'tp', 'g')}), 6) macro_f from per group by country, theta)) where rn = 1)"
@@ -39,12 +39,14 @@ def _by_country(s, d):
 
 @_query("decided_by_country", sql.upto("perent", _SLICE) + "select s1, t, p from (select s1, t, p, row_number() over (partition by t order by p desc, s1) rn from scored join bests using (country) where p >= theta) where rn = 1")
 def _decided(s, d):
-    return evaluate.decided_by_slice(scored(s, d), evaluate.sweep_by_slice(entities(s, d), scored(s, d), truth(s, d))).select("s1", "t", "p")
+    pairs = store.written(scored(s, d), "scored")
+    return evaluate.decided_by_slice(pairs, evaluate.sweep_by_slice(entities(s, d), pairs, truth(s, d))).select("s1", "t", "p")
 
 
 def _two(s, d):
-    other = decide.per_entity(entities(s, d), decide.owners(scored(s, d), 0.8), truth(s, d))
-    return evaluate.paired_delta(per_entity(s, d), other, entities(s, d))
+    pairs, own, true = store.written(scored(s, d), "scored"), entities(s, d), truth(s, d)
+    each = [decide.per_entity(own, decide.owners(pairs, theta), true) for theta in (0.6, 0.8)]
+    return evaluate.paired_delta(*each, own)
 
 
 _DELTA = """strict as (select s1, t from (select s1, t, row_number() over (partition by t order by p desc, s1) rn from scored where p >= 0.8) where rn = 1),
@@ -187,7 +189,7 @@ def _examples(s, d):
 _EASY = sql.stable_mod("s1 || '|' || t", "easy:", 1_000_000)
 
 
-@_query("weighted_pairs", sql.upto("scored", "lab as (select s1, t, p, case when u.t is null then 0.0 else 1.0 end y, rank() over (partition by s1 order by p desc) r from scored left join (select s1, t from truth) u using (s1, t))") + f"select s1, t, p, y, case when y = 0 and r > 5 then 1 / 0.3 else 1.0 end w from lab where not (y = 0 and r > 5) or {_EASY} / 1000000 < 0.3")
+@_query("weighted_pairs", sql.upto("scored", "lab as (select s1, t, p, cast(u.t is not null as double) y, rank() over (partition by s1 order by p desc) r from scored left join (select s1, t from truth) u using (s1, t))") + f"select s1, t, p, y, case when y = 0 and r > 5 then 1 / 0.3 else 1.0 end w from lab where not (y = 0 and r > 5) or {_EASY} / 1000000 < 0.3")
 def _weighted(s, d):
     return learning.weighted(learning.labelled(scored(s, d).select("s1", "t", "p"), truth(s, d)), 0.3, 5)
 
@@ -203,7 +205,7 @@ def _shared(s, d):
     return learning.shared_targets(scored(s, d).select("s1", "t"), learning.split(entities(s, d)))
 
 
-@_query("ensemble_mean", sql.upto("scored") + "select s1, t, round((p + round(p * p, 6)) / 2, 6) p from scored")
+@_query("ensemble_mean", sql.upto("scored") + "select s1, t, round((p + round(p * p, 6)) / 2, 7) p from scored")
 def _ensemble(s, d):
     own = scored(s, d).select("s1", "t", "p")
     return learning.ensemble([own, own.withColumn("p", F.round(F.col("p") * F.col("p"), 6))])
@@ -221,12 +223,12 @@ def _cheap(s, d):
 def _learned(s, d):
     """Out-of-fold scores of boosted trees on cheap features, two folds."""
     own = _cheap(s, d).join(learning.folds(entities(s, d), norm(s, d), 2), "s1").withColumn("w", F.lit(1.0))
-    return learning.out_of_fold(own, _CHEAP, 2, rounds=10, depth=4).select("s1", "t", "y", "p")
+    return learning.out_of_fold(store.written(own, "pairs"), _CHEAP, 2, rounds=10, depth=4).select("s1", "t", "y", "p")
 
 
 @_query("learned_shortlist")
 def _shortlist(s, d):
     """The 10 best candidates of each entity by a model of the fit part."""
-    own = _cheap(s, d).join(learning.split(entities(s, d)), "s1").withColumn("w", F.lit(1.0))
+    own = store.written(_cheap(s, d).join(learning.split(entities(s, d)), "s1").withColumn("w", F.lit(1.0)), "pairs")
     model = learning.train(own.filter("part = 'fit'"), _CHEAP, rounds=10, depth=4)
     return decide.survivors(learning.score(own.select("s1", "t", *_CHEAP), model, _CHEAP).select("s1", "t", "p"), 10, 0.0)

@@ -100,11 +100,11 @@ def _channels(s, d):
 
 @_query("pair_flags", sql.upto("cand", _SIDES) + f"""select s1, t, cast(qn = tn as int) n_exact, cast(qc = tc and qc <> '' as int) c_exact, {_eq('qp', 'tp')} pc_eq, {_eq('qh', 'th')} hs_eq, {_eq('qy', 'ty')} cty_eq, length(qn) n_len1, length(tn) n_len2, length(qa) a_len1, length(ta) a_len2,
 round(cast(least(len(string_split(qn, ' ')), len(string_split(tn, ' '))) as double) / greatest(len(string_split(qn, ' ')), len(string_split(tn, ' '))), 6) ntok_r, tsrc src, {', '.join(f"cast((kmask >> {linkage.BITS[k]}) & 1 as int) k{k}" for k in 'ABCDEFG')},
-count(*) over w n_cand, round(max(bscore) over w - bscore, 6) bscore_gap, rank() over (partition by s1 order by bscore desc) bscore_rank from j window w as (partition by s1)""")
+count(*) over w n_cand, cast(max(bscore) over w - bscore as bigint) bscore_gap, rank() over (partition by s1 order by bscore desc) bscore_rank from j window w as (partition by s1)""")
 def _flags(s, d):
     own = decide.context(features.flags(_joined(s, d)), "bscore")
     names = ["n_exact", "c_exact", "pc_eq", "hs_eq", "cty_eq", "n_len1", "n_len2", "a_len1", "a_len2", "ntok_r", "src", *[f"k{k}" for k in "ABCDEFG"], "n_cand"]
-    return own.select("s1", "t", *names, F.col("bscore_gap").cast("double").alias("bscore_gap"), "bscore_rank")
+    return own.select("s1", "t", *names, F.col("bscore_gap").cast("bigint").alias("bscore_gap"), F.col("bscore_rank").cast("bigint").alias("bscore_rank"))
 
 
 @_query("pair_features")
@@ -142,12 +142,13 @@ def _label_free(s, d):
 def _anchors(s, d):
     own = features.sides(cand(s, d).select("s1", "t"), norm(s, d), ("name_norm", "core", "addr_norm"))
     specs = {"c_tset": ("tset", "core", None), "n_tset": ("tset", "name_norm", None), "a_tset": ("tset", "addr_norm", -1.0)}
-    return features.anchor_features(features.with_similarities(own, features.of_views(specs)), norm(s, d))
+    scored_ = features.with_similarities(own, features.of_views(specs)).select("s1", "t", *specs)
+    return features.anchor_features(store.written(scored_, "pairs"), norm(s, d))
 
 
 @_query("sibling_features")
 def _siblings(s, d):
-    return features.sibling_features(decide.survivors(scored(s, d), 10), norm(s, d))
+    return features.sibling_features(store.written(decide.survivors(scored(s, d), 10), "survivors"), norm(s, d))
 
 
 _RK = " union ".join(f"select id, src, coalesce(country, '') || '|{n}|' || v as key from (select id, src, country, {e} v from norm) where length(v) >= 5" for n, e in (
@@ -163,7 +164,7 @@ def _rival_counts(s, d):
 
 @_query("rival_features")
 def _rivals(s, d):
-    return features.rival_features(cand(s, d), norm(s, d))
+    return features.rival_features(store.written(cand(s, d), "pairs"), norm(s, d))
 
 
 _IDF = "odf as (select tok, count(*) df from (select distinct id, unnest(" + _T("core") + ") tok from norm where src > 1) group by tok), oidf as (select tok, ln((select count(*) from norm where src > 1) + 1) - ln(df + 1) idf from odf)"
@@ -194,8 +195,8 @@ def _numbers(s, d):
     return features.number_features(_joined(s, d)).withColumn("h_lev", F.col("h_lev").cast("bigint"))
 
 
-@_query("support_features", sql.upto("scored", _SIDES, "g as (select j.*, p from j join scored using (s1, t))") + """select s1, t, case when tc <> '' then count(*) over (partition by s1, tc) - 1 else 0 end g_same_core, case when tc <> '' then sum(cast(100 * p >= 80 as int)) over (partition by s1, tc) - cast(100 * p >= 80 as int) else 0 end g_same_core_goodaddr,
-case when tc <> '' then sum(cast(100 * p >= 0 and 100 * p < 60 as int)) over (partition by s1, tc) - cast(100 * p >= 0 and 100 * p < 60 as int) else 0 end g_same_core_badaddr, case when th is not null then count(*) over (partition by s1, th) - 1 else -1 end g_same_house,
+@_query("support_features", sql.upto("scored", _SIDES, "g as (select j.*, p from j join scored using (s1, t))") + """select s1, t, case when tc <> '' then count(*) over (partition by s1, tc) - 1 else 0 end g_same_core, case when tc <> '' then cast(sum(cast(100 * p >= 80 as int)) over (partition by s1, tc) - cast(100 * p >= 80 as int) as bigint) else 0 end g_same_core_goodaddr,
+case when tc <> '' then cast(sum(cast(100 * p >= 0 and 100 * p < 60 as int)) over (partition by s1, tc) - cast(100 * p >= 0 and 100 * p < 60 as int) as bigint) else 0 end g_same_core_badaddr, case when th is not null then count(*) over (partition by s1, th) - 1 else -1 end g_same_house,
 case when ta <> '' then count(*) over (partition by s1, ta) - 1 else -1 end g_same_addr, count(*) filter (tc = qc and tc <> '') over (partition by s1) g_core_eq_q, count(*) filter (coalesce(th = qh, false)) over (partition by s1) g_house_eq_q from g""")
 def _support(s, d):
     """With 100 p in the place of the address ratio, which SQL has not."""
@@ -206,7 +207,7 @@ def _support(s, d):
 
 @_query("decoy_features")
 def _decoys(s, d):
-    return features.decoy_features(cand(s, d), norm(s, d))
+    return features.decoy_features(store.written(cand(s, d), "pairs"), norm(s, d))
 
 
 @_query("competition", sql.upto("scored") + """select s1, t, o rev_max, round(sum(p) over w - p, 6) rev_sum, count(*) over w - 1 rev_n, coalesce(b, 0.0) rev_second, round(p - o, 6) rev_gap from (select *, coalesce(case when k = 1 then b else a end, 0.0) o from

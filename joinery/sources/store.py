@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
 import json
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +18,23 @@ from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in spark.checkpoint.dir; a folder of this machine only in local mode."""
+    """A new path in spark.checkpoint.dir, removed when this Python process ends; a folder of this machine only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="joinery-")
-    return f"{folder.rstrip('/')}/joinery-{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{folder.rstrip('/')}/joinery-{what}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
+        return
 
 
 def written(frame: DataFrame, what: str) -> DataFrame:
@@ -33,6 +44,22 @@ def written(frame: DataFrame, what: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+_made: dict[tuple[str, str], str] = {}
+
+
+def cached(spark: SparkSession, source: str, policy: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` of a source file, written once an application for each state of the file (length and time) and policy."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    state = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength(), at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    key = spark.sparkContext.applicationId, pin(policy | {"source": source, "state": list(state)})
+    frame = make()
+    if key not in _made or not Store(spark, _made[key]).exists("_SUCCESS"):
+        path = scratch(spark, "cached")
+        frame.write.option("compression", "zstd").parquet(path)
+        _made[key] = path
+    return spark.read.schema(frame.schema).parquet(_made[key])
+
+
 class Store:
     """Objects under a folder of any file system that Hadoop knows."""
 
