@@ -36,7 +36,7 @@ from . import common, words
 
 #: The split pattern and the byte alphabet of byte-level BPE: fixed values of the public format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bounds a Python worker: bytes of text at once, cached pieces (about 40 MB, in two halves: the older is dropped when the other is full), remembered pairs and steps (20 MB each).
+#: Bounds a Python worker: bytes of text at once, cached pieces (about 40 MB, twice that where the library encodes, in two halves: the older is dropped when the other is full), remembered pairs and steps (20 MB each).
 SLICE, MAX_CACHED, MAX_PAIRS = 4 << 20, 200_000, 200_000
 
 
@@ -324,10 +324,10 @@ def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class Chunked:
     """Ids of whole texts from cached ids of the pieces of their distinct chunks."""
 
-    def __init__(self, encoder) -> None:
+    def __init__(self, encoder, most: int = MAX_CACHED) -> None:
         import regex
 
-        self.encoder, self.known, self.former = encoder, {}, {}
+        self.encoder, self.most, self.known, self.former = encoder, most, {}, {}
         self._pattern = regex.compile(PATTERN)
         special = "|".join(regex.escape(s) for s in sorted(encoder.special, key=len, reverse=True))
         self._special = regex.compile(f"({special})") if special else None
@@ -338,14 +338,14 @@ class Chunked:
         return [x for k, p in enumerate(self._special.split(text)) for x in ([p] if k % 2 else self._pattern.findall(p))]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > MAX_CACHED // 2:  # what comes again is taken over from the former half
+        if len(self.known) > self.most // 2:  # what comes again is taken over from the former half
             self.former, self.known = self.known, {}
         known, former = self.known, self.former
         out = [known.get(p) or former.get(p) for p in pieces]
         new = [p for p, x in zip(pieces, out, strict=True) if x is None]
         own = dict(zip(new, self.encoder.encode_pieces(new), strict=True)) if new else {}
         out = [own[p] if x is None else x for p, x in zip(pieces, out, strict=True)]
-        known.update(own if len(own) <= MAX_CACHED // 2 else list(own.items())[: MAX_CACHED // 2])
+        known.update(own if len(own) <= self.most // 2 else list(own.items())[: self.most // 2])
         return out
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -392,7 +392,7 @@ _loaded: dict[tuple[str, str], object] = {}
 def loaded(kind: str, path: str):
     """One encoder a Python worker; kept between tasks.  Encoder and decoder share their tables."""
     if (kind, path) not in _loaded:
-        _loaded[kind, path] = TrieBPE(path) if kind == "tables" else Chunked(LibraryBPE(path) if kind == "library" else loaded("tables", path))
+        _loaded[kind, path] = TrieBPE(path) if kind == "tables" else Chunked(LibraryBPE(path), 2 * MAX_CACHED) if kind == "library" else Chunked(loaded("tables", path))
     return _loaded[kind, path]
 
 

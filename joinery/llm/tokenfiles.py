@@ -163,7 +163,7 @@ def local_uri(uri: str) -> str:
 #: Ids buffered before a partition's file is closed and the next begun (40 MB of ids).
 MAX_IDS = 10_000_000
 #: Bytes of text that are encoded together: the more, the fewer pieces are looked up again.
-SLICE = 12 << 20
+SLICE = 16 << 20
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> DataFrame:
