@@ -37,7 +37,7 @@ from . import common, words
 #: The split pattern and the byte alphabet of byte-level BPE: fixed values of the public format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bounds a Python worker: bytes of text at once, cached pieces (about 40 MB, twice that where the library encodes, in two halves: the older is dropped when the other is full), remembered pairs and steps (20 MB each).
-SLICE, MAX_CACHED, MAX_PAIRS = 4 << 20, 200_000, 200_000
+SLICE, MAX_CACHED, MAX_PAIRS = 2 << 20, 200_000, 200_000
 
 
 def _alphabet() -> dict[str, int]:

@@ -282,6 +282,21 @@ def _met(h: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray, sta
     return sent, known
 
 
+def _word_ids(blobs: list[bytes], most: int = 2 << 20) -> np.ndarray:
+    """A number for every word of texts that end with white space; the texts are let go as they are read."""
+    words, blobs[:] = [], blobs[::-1]
+    while blobs:
+        some, size = [], 0
+        while blobs and (not some or size < most):
+            some.append(blobs.pop())
+            size += len(some[-1])
+        data = np.frombuffer(b"".join(some), np.uint8)
+        starts, ends = w.bounds(data, np.array([0, len(data)]), w.SPACED)
+        at = np.r_[0, np.cumsum(ends - starts)]
+        words.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(w.gather(data, starts, ends - starts))]))
+    return np.concatenate([c.indices.to_numpy() for c in pa.chunked_array(words, pa.large_binary()).dictionary_encode().chunks])
+
+
 def _runs(pick: np.ndarray, start: np.ndarray, of: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Picked windows that follow each other in a text and to a bucket: index of the first, and how many."""
     at = np.flatnonzero(pick)
@@ -345,10 +360,8 @@ def removed_windows(placed: DataFrame, anchors: DataFrame, slots: np.ndarray, pa
                     blobs.append(blob)
         if not heads:
             return
-        r, data = np.concatenate(heads), np.frombuffer(b"".join(blobs), np.uint8)
-        del heads, blobs
-        starts, ends = w.bounds(data, np.array([0, len(data)]), w.SPACED)
-        ids, n = w.names(data, starts, ends), r["n"].astype(np.int64)
+        r = np.concatenate(heads)
+        ids, n = _word_ids(blobs), r["n"].astype(np.int64)
         held = n + window - 1
         of = np.repeat(np.arange(len(r)), n)
         k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
