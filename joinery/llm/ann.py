@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BOOKS, WORDS, BEAM, MAX_TRAIN, BLOCK, QUERIES, PROBES, SHORTLIST, NEAREST, EVERY = 12, 64, 4, 8192, 4096, 256, 24, 512, 10, 100
+BOOKS, WORDS, BEAM, MAX_TRAIN, BLOCK, QUERIES, PROBES, SHORTLIST, NEAREST, EVERY = 20, 64, 4, 8192, 4096, 256, 56, 2048, 10, 100
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ class Bests:
     def rows(self) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(self.held), 5000):
             some = list(self.held.items())[at : at + 5000]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([v.astype("<f8").tobytes() for _, v in some], pa.binary())], names=["vec_id", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([v.astype("<f4").tobytes() for _, v in some], pa.binary())], names=["vec_id", "values"])
         self.held = {}
 
 
@@ -203,7 +203,7 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, short
         for q_ids, _, _, _, rough, _ in cells(batches):
             for i, own in enumerate(q_ids.tolist()):
                 best.add(own, rough[i])
-            if len(best.held) > 10_000:
+            if len(best.held) * shortlist > 4 << 20:
                 yield from best.rows()
         yield from best.rows()
 
@@ -211,16 +211,16 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, short
         best = Bests(shortlist)
         for b in batches:
             for k, v in zip(b.column("vec_id").to_pylist(), b.column("values").to_pylist(), strict=True):
-                best.add(k, np.frombuffer(v, "<f8"))
+                best.add(k, np.frombuffer(v, "<f4"))
         for b in best.rows():
-            far = [np.frombuffer(v, "<f8").max() for v in b.column("values").to_pylist()]
+            far = [float(np.frombuffer(v, "<f4").max()) for v in b.column("values").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(far, pa.float64())], names=["vec_id", "far"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for q_ids, q, ids, x, rough, far in cells(batches):
             got = []
             for i, own in enumerate(q_ids.tolist()):
-                take = np.flatnonzero((rough[i] <= far[i] + 1e-9 * (1 + abs(far[i]))) & (rough[i] < np.inf))
+                take = np.flatnonzero((rough[i] <= far[i] + 1e-6 * (1 + abs(far[i]))) & (rough[i] < np.inf))
                 exact = np.sqrt(((x[take] - q[i]) ** 2).sum(1))
                 order = np.lexsort((ids[take], exact))[:nearest]
                 got += [(own, int(v), float(d)) for v, d in zip(ids[take][order], exact[order], strict=True)]
