@@ -75,7 +75,7 @@ def test_blocks_are_brute_force(monkeypatch, grams, common, sets):
 
 
 #: Query, and rows that it may shuffle a record.
-LINEAR = {"channel_union": 20, "cosine_topk_char": 10, "channels": 80, "cosine_topk_word": 20}
+LINEAR = {"channel_union": 20, "cosine_topk_char": 10, "channels": 80, "cosine_topk_word": 20, "reverse_best_other": 20}
 
 
 @pytest.mark.parametrize("name", LINEAR)
