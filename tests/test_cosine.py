@@ -83,6 +83,17 @@ def test_records_are_shuffled_not_pairs(spark, tmp_path, name):
     few_pairs(spark, tmp_path, name, LINEAR[name])
 
 
+def test_reverse_features_shuffle_records(spark, tmp_path):
+    """Beside the given pairs: the targets' lists are made without pairs that share a word."""
+    path = customers(spark, tmp_path, [(k, 0) for k in range(1500)])
+    records = catalog.norm(spark, path)
+    pairs = spark.createDataFrame([(f"S1-{k}", f"S2-{k}") for k in range(1, 60, 3)], "s1 string, t string")
+    before, n = shuffled(spark), records.count()
+    rows = linkage.reverse_features(pairs, records, "name_norm", max_df=0.3).collect()
+    assert len(rows) == 20 and all(r.own > 0 for r in rows)
+    assert shuffled(spark) - before < 30 * n
+
+
 @pytest.mark.parametrize("name", [n for n in LINEAR if n in catalog.oracle_sql()])
 def test_odd_customers(spark, tmp_path, name):
     """Repeated keys, also of several countries; and a table without queries."""
