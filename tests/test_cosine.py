@@ -100,3 +100,24 @@ def test_odd_customers(spark, tmp_path, name):
     against_sql(spark, customers(spark, tmp_path / "odd", ODD), name)
     against_sql(spark, customers(spark, tmp_path / "plain", ODD[6:]), name)
     assert linkage.cosine_top(catalog.norm(spark, str(tmp_path / "plain")).filter("src = 1"), "name_norm", reverse=True).count() == 0
+
+
+@pytest.mark.parametrize("top", [1, 2, 4])
+def test_queries_of_one_set_share_their_candidates(monkeypatch, top):
+    """Queries with the same common grams are not each compared with every profile of the targets."""
+    rng, made, rounded = np.random.default_rng(top), {}, []
+    for side, first, n in (("q", 10_000, 400), ("t", 100, 900)):
+        lists = [sorted({int(g) for g in rng.integers(0, 6, 3)}) + [first + i] for i in range(n)]
+        grams = [[{"gid": g, "idf": 1 + g / 4 if g < 6 else 1 + g % 997 / 500} for g in x] for x in lists]
+        made[side] = cosine._of_batch(pa.RecordBatch.from_arrays([pa.array([f"{side}{i}" for i in range(n)]), pa.array(grams, pa.list_(pa.struct([("gid", pa.int64()), ("idf", pa.float64())])))], names=["id", "v"]))
+    q, t, full = made["q"], made["t"], {}
+    for side, v in made.items():
+        full[side] = np.zeros((len(v), 6))
+        own, low = np.repeat(np.arange(len(v)), v.size), v.gid < 6
+        full[side][own[low], v.gid[low]] = v.idf[low]
+    cos = np.round(full["q"] @ full["t"].T / (q.norm[:, None] * t.norm), 6)
+    rank = rng.permutation(len(t))
+    want = [(i, j, cos[i, j]) for i in range(len(q)) for j in np.lexsort((rank, -cos[i]))[:top].tolist() if cos[i, j] > 0]
+    monkeypatch.setattr(cosine.np, "round", lambda x, *a, f=np.round: (rounded.append(np.size(x)), f(x, *a))[1])
+    assert list(zip(*(x.tolist() for x in cosine.best_of(q, t, rank, top)), strict=True)) == want
+    assert sum(rounded) < len(q) * len(t) / 8
