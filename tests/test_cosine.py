@@ -162,3 +162,16 @@ def test_vectors_travel_in_few_bytes():
     back = cosine._unpacked([row | {"ids": cosine._strings(row["ids"], row["long"])}])
     assert back.ids.equals(v.ids)
     assert all(np.array_equal(getattr(back, c), getattr(v, c)) for c in ("size", "gid", "idf", "times", "norm"))
+
+
+def test_frequent_grams_leave_before_the_shuffle(spark, tmp_path):
+    """Letters of the names are in most records: their grams are not sent to the table of IDF."""
+    path = customers(spark, tmp_path, [(k, 0) for k in range(1500)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = catalog.norm(spark, path)
+        n, before = records.count(), shuffled(spark)
+        assert linkage.gram_vectors(records, "name_norm", True, 0.03).count()
+        assert shuffled(spark) - before < 30 * n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
