@@ -1,5 +1,7 @@
 """Retrieval by cosine: blocks against brute force and SQL, and what is shuffled."""
 
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -224,3 +226,14 @@ def test_reverse_features_send_a_pair_twice(spark, tmp_path):
         rest = [c for o, c in lists.get(t, []) if s1 is not None and o != s1]
         assert abs(own - cos) < 1e-6 and other == max(rest, default=0.0) and gap == round(own - other, 6)
         assert (rnk, n_close) == (1 + sum(c > own for c in rest), sum(c >= own - 0.05 for c in rest))
+
+
+def test_channels_keep_all_that_they_are_to_keep(spark, tmp_path):
+    """A query's best in every channel are as many as the channel keeps, not a part of them."""
+    path = customers(spark, tmp_path, [(k, 0) for k in range(1200)])
+    rows, most = catalog.queries()["channels"](spark, path).collect(), {}
+    for name in linkage.CHANNELS:
+        n = Counter((r.q, r.t.split("-")[0]) for r in rows if r[name] > 0)
+        most[name] = max(n.values(), default=0)
+    want = {name: spec[4] for name, spec in linkage.CHANNELS.items()} | {"address_fold": 0}  # too few words in all addresses: each is over max_df
+    assert most == want
