@@ -386,14 +386,11 @@ class Chunked:
         return words.gather(flat, before[which], sizes), total[np.searchsorted(starts, offs)]
 
 
-_loaded: dict[tuple[str, str], object] = {}
-
-
 def loaded(kind: str, path: str):
-    """One encoder a Python worker; kept between tasks.  Encoder and decoder share their tables."""
-    if (kind, path) not in _loaded:
-        _loaded[kind, path] = TrieBPE(path) if kind == "tables" else Chunked(LibraryBPE(path), 2 * MAX_CACHED) if kind == "library" else Chunked(loaded("tables", path))
-    return _loaded[kind, path]
+    """One encoder a Python worker; kept between tasks, until one that encodes nothing.  Encoder and decoder share their tables."""
+    if (kind, path) not in common.kept:
+        common.kept[kind, path] = TrieBPE(path) if kind == "tables" else Chunked(LibraryBPE(path), 2 * MAX_CACHED) if kind == "library" else Chunked(loaded("tables", path))
+    return common.kept[kind, path]
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], name: str, most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -428,7 +425,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         for piece, data, offs in text_slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _lists(*own.encode(data, offs))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run, True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -446,7 +443,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
                 flat, offs = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, tables.decode(flat, offs - offs[0])], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(common.tidy(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(common.tidy(run, True), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -458,7 +455,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
             ids, at = own.encode(data, offs)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _lists(ids, at), tables.decode(ids, at)], names=["doc_id", "ids", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(common.tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(run, True), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
 #: Rows of an Arrow batch of texts, where a step is written.

@@ -197,7 +197,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
     own = own.repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    return own.mapInArrow(common.tidy(run), "part long, seq long, path string, n_docs long, n_ids long")
+    return own.mapInArrow(common.tidy(run, True), "part long, seq long, path string, n_docs long, n_ids long")
 
 
 def read(files: DataFrame) -> DataFrame:

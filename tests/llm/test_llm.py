@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from joinery.llm import ann, bpe, brute, html, leaks, licenses, nearcopies, substrings, tokenfiles, toxicity, warc
+from joinery.llm import ann, bpe, brute, common, html, leaks, licenses, nearcopies, substrings, tokenfiles, toxicity, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -292,3 +292,12 @@ def test_sql(spark, name):
     assert names == sorted(rel.columns)
     at = [rel.columns.index(c) for c in names]
     assert sorted(repr(tuple(r[c] for c in names)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in rel.fetchall())
+
+
+def test_other_tasks_drop_the_encoder():
+    """Its tables stay for the next task that encodes, and not in workers that go on to other work."""
+    tables = bpe.loaded("tables", TOKENIZER)
+    assert list(common.tidy(iter, True)(iter([1]))) == [1]
+    assert bpe.loaded("tables", TOKENIZER) is tables
+    assert list(common.tidy(iter)(iter([1]))) == [1]
+    assert bpe.loaded("tables", TOKENIZER) is not tables
